@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
-from sheaf.llm import lines
+from sheaf.llm import lines, residue
 from sheaf.sources.tables import table
 
 
+def p1_found(spark, d):
+    return _residue(spark, d).select("item_kind", "item_id")
+
+
+def p1_kinds(spark, d):
+    return _residue(spark, d).selectExpr("item_kind", "item_id", "array_join(kinds, ',') AS kinds")
+
+
+def _residue(spark, d):
+    return residue.residue_records(residue.all_records(table(spark, d, "content_blocks"), table(spark, d, "pitch_sections")))
+
+
 def p6_found(spark, d):
     return lines.repeated_block_lines(table(spark, d, "content_blocks"))
 
@@ -26,7 +38,7 @@ s AS (SELECT site, count(DISTINCT page_id) AS whole FROM c GROUP BY ALL),
 f AS (SELECT DISTINCT block_id, line_no FROM c JOIN n USING (site, key) JOIN s USING (site) WHERE pages >= 4 AND pages * 10 >= whole * 3)
 """
 
-QUERIES = {"p6_found": p6_found, "p6_cleaned": p6_cleaned}
+QUERIES = {"p1_found": p1_found, "p1_kinds": p1_kinds, "p6_found": p6_found, "p6_cleaned": p6_cleaned}
 
 ORACLE = {
     "p6_found": _P6 + "SELECT block_id, CAST(line_no AS BIGINT) AS line_no FROM f",
