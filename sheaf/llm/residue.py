@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from sheaf.functions.keys import host
 from sheaf.llm import lines
+from sheaf.session import stored
 
 # Marks of unfilled fields.
 FIELDS = (
@@ -123,9 +124,6 @@ class Judge:
         return [k for k in KINDS if k in found]
 
 
-_BAD = "item_kind string, item_id long, h1 long, h2 long, source long, page long, kinds array<string>, alone boolean"
-
-
 def _evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Lines with evidence: their record, source, page, letters and whether other lines with letters stand in the record."""
     import ahocorasick
@@ -166,7 +164,7 @@ def residue_records(records: DataFrame) -> DataFrame:
     pages = slim.where("_known")
     kept = slim.select("item_kind", "item_id", F.when(F.col("_known"), F.col("source")).alias("source"), "page", "text").where("text IS NOT NULL AND text <> ''")
     schema = "item_kind string, item_id long, source long, page long, line string, kinds array<string>, alone boolean"
-    bad = kept.mapInPandas(_evidence, schema).withColumn("key", F.xxhash64("source", lines.letters(F.col("line"))))
+    bad = stored(kept.mapInPandas(_evidence, schema).select("*", F.xxhash64("source", lines.letters(F.col("line"))).alias("key")).drop("line"), "residue")
     whole = lines.cardinality(lines.page_bits(pages.select("source", "page"), "source"), "source").select(F.col("source").alias("_s"), F.col("pages").alias("_all"))
     counts = lines.cardinality(lines.page_bits(bad.where("source IS NOT NULL"), "source", "key"), "source", "key").where(F.col("pages") >= lines.LEAST_PAGES)
     usual = counts.join(whole, F.col("source") == F.col("_s")).where(F.col("pages") * lines.LEAST_SHARE[1] >= F.col("_all") * lines.LEAST_SHARE[0])
