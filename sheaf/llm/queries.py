@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sheaf.llm import lines, residue
+from sheaf.llm import boilerplate, lines, residue
 from sheaf.sources.tables import table
 
 
@@ -18,6 +18,16 @@ def _residue(spark, d):
     return residue.residue_records(residue.all_records(table(spark, d, "content_blocks"), table(spark, d, "pitch_sections")))
 
 
+def p3_found(spark, d):
+    bodies = boilerplate.page_bodies(table(spark, d, "content_blocks"))
+    cases = residue.residue_records(residue.block_records(table(spark, d, "content_blocks")))
+    return bodies.where("furniture").select("block_id").join(cases.selectExpr("item_id AS block_id"), "block_id", "left_anti")
+
+
+def p3_bodies(spark, d):
+    return boilerplate.page_bodies(table(spark, d, "content_blocks")).where("NOT furniture").select("block_id", "page_id", "body")
+
+
 def p6_found(spark, d):
     return lines.repeated_block_lines(table(spark, d, "content_blocks"))
 
@@ -38,7 +48,7 @@ s AS (SELECT site, count(DISTINCT page_id) AS whole FROM c GROUP BY ALL),
 f AS (SELECT DISTINCT block_id, line_no FROM c JOIN n USING (site, key) JOIN s USING (site) WHERE pages >= 4 AND pages * 10 >= whole * 3)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_kinds": p1_kinds, "p6_found": p6_found, "p6_cleaned": p6_cleaned}
+QUERIES = {"p1_found": p1_found, "p1_kinds": p1_kinds, "p3_found": p3_found, "p3_bodies": p3_bodies, "p6_found": p6_found, "p6_cleaned": p6_cleaned}
 
 ORACLE = {
     "p6_found": _P6 + "SELECT block_id, CAST(line_no AS BIGINT) AS line_no FROM f",

@@ -172,8 +172,17 @@ def residue_records(records: DataFrame) -> DataFrame:
     return left.select("item_kind", "item_id", F.explode("kinds").alias("kind")).groupBy("item_kind", "item_id").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
 
 
+def block_records(blocks: DataFrame) -> DataFrame:
+    """Blocks as records; their source is the host of the url, else the extraction."""
+    source = F.coalesce(host(F.col("url")), F.col("extraction_id"))
+    return blocks.select(F.lit("content_blocks").alias("item_kind"), F.col("block_id").alias("item_id"), source.alias("source"), F.col("page_id").alias("page"), "text")
+
+
+def section_records(sections: DataFrame) -> DataFrame:
+    """Pitch sections as records; their source is the product, their page the pitch."""
+    return sections.select(F.lit("pitch_sections").alias("item_kind"), F.col("section_id").alias("item_id"), F.col("product_id").alias("source"), F.col("pitch_id").alias("page"), F.col("content").alias("text"))
+
+
 def all_records(blocks: DataFrame, sections: DataFrame) -> DataFrame:
-    """Blocks (source: host of the url, else the extraction) and pitch sections (source: the product) as records."""
-    b = blocks.select(F.lit("content_blocks").alias("item_kind"), F.col("block_id").alias("item_id"), F.coalesce(host(F.col("url")), F.col("extraction_id")).alias("source"), F.col("page_id").alias("page"), "text")
-    s = sections.select(F.lit("pitch_sections").alias("item_kind"), F.col("section_id").alias("item_id"), F.col("product_id").alias("source"), F.col("pitch_id").alias("page"), F.col("content").alias("text"))
-    return b.unionByName(s)
+    """Blocks and pitch sections as records."""
+    return block_records(blocks).unionByName(section_records(sections))
