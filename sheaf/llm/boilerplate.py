@@ -28,6 +28,8 @@ NEIGHBOURS = 8
 LEAST_SHARED = 2
 #: Words of a line that still counts as a label (link text, menu item).
 LABEL_WORDS = 8
+#: Longest line that can be a row of usual wordings.
+USUAL_CHARS = 400
 #: Items of a menu, and words of an item in a menu on one line.
 MENU_ITEMS, MENU_WORDS = 4, 4
 
@@ -64,12 +66,19 @@ class Cues:
         self.sentence = re.compile(r"[.!?:;,]$|[.!?] ")
 
     def clean(self, line: str) -> str:
-        return re.sub(r"\s+", " ", line).strip(" \t»›•*-–").strip().rstrip(".…")
+        return " ".join(line.split()).strip(" »›•*-–").rstrip(".…")
 
     def usual_line(self, line: str) -> bool:
         """A usual wording, or a row of them with separators between."""
+        if len(line) > USUAL_CHARS:
+            return False
         bare = self.clean(line)
-        return bool(bare) and (self.usual.fullmatch(bare) is not None or all(self.usual.fullmatch(self.clean(p)) for p in self.parts.split(line.strip()) if p.strip()))
+        if not bare or self.usual.fullmatch(bare):
+            return bool(bare)
+        first, *rest = self.parts.split(line.strip(), maxsplit=1)
+        if not rest or not self.usual.fullmatch(self.clean(first)):
+            return False
+        return all(self.usual.fullmatch(self.clean(p)) for p in self.parts.split(rest[0].strip()) if p.strip())
 
     def label(self, line: str) -> bool:
         return len(line.split()) <= LABEL_WORDS and not self.sentence.search(line.strip().rstrip("…"))
@@ -104,15 +113,20 @@ class Cues:
         return all(self.counted.match(x.strip()) for x in lines) or "\n" not in text and (self.bread_crumb(text) or self.menu_row(text))
 
 
-def common_lines(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
-    """Positions in a and in b of a longest common subsequence (exact, by increasing runs of matches)."""
+def positions(b: list[int]) -> dict[int, list[int]]:
+    """Where each line stands, last place first."""
     where: dict[int, list[int]] = {}
-    for j, x in enumerate(b):
-        where.setdefault(x, []).append(j)
+    for j in range(len(b) - 1, -1, -1):
+        where.setdefault(b[j], []).append(j)
+    return where
+
+
+def common_lines(a: list[int], where: dict[int, list[int]]) -> tuple[list[int], list[int]]:
+    """Positions in a and in b of a longest common subsequence (exact, by increasing runs of matches); where: positions(b)."""
     ends: list[int] = []
     links: list[tuple | None] = []
     for i, x in enumerate(a):
-        for j in reversed(where.get(x, ())):
+        for j in where.get(x, ()):
             k = bisect_left(ends, j)
             link = (i, j, links[k - 1] if k else None)
             if k == len(ends):
@@ -131,7 +145,7 @@ def common_lines(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
 
 
 class _Page:
-    __slots__ = ("site", "blocks", "keys", "spans", "shared", "mates")
+    __slots__ = ("site", "blocks", "keys", "spans", "shared", "mates", "where")
 
     def __init__(self, site: str, blocks: list) -> None:
         self.site, self.blocks = site, blocks
@@ -145,11 +159,12 @@ class _Page:
             self.spans.append((start, len(self.keys)))
         self.shared = [0] * len(self.keys)
         self.mates = 0
+        self.where = positions(self.keys)
 
     def align(self, other: _Page) -> None:
         self.mates += 1
         other.mates += 1
-        for mine, theirs in zip(*common_lines(self.keys, other.keys)):
+        for mine, theirs in zip(*common_lines(self.keys, other.where)):
             self.shared[mine] += 1
             other.shared[theirs] += 1
 
@@ -169,11 +184,11 @@ def _pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 out.append((b["block_id"], page_id, False, b["text"]))
                 continue
             furniture = cues.furniture(b["text"], page.shared[start:end], need, bool(b["heading"]))
-            body, it = [], iter(gone)
-            for x in b["text"].split("\n"):
-                if not (any(c.isalpha() for c in x) and next(it)) or b["heading"]:
-                    body.append(x)
-            out.append((b["block_id"], page_id, furniture, None if furniture else "\n".join(body)))
+            body = b["text"]
+            if not b["heading"] and any(gone):
+                it = iter(gone)
+                body = "\n".join(x for x in body.split("\n") if not (any(c.isalpha() for c in x) and next(it)))
+            out.append((b["block_id"], page_id, furniture, None if furniture else body))
 
     for batch in batches:
         out: list = []
