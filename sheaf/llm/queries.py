@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from sheaf.llm import boilerplate, lines, residue
+from pyspark.sql import functions as F
+
+from sheaf.llm import boilerplate, lines, neardup, residue
 from sheaf.sources.tables import table
 
 
@@ -36,6 +38,28 @@ def p6_cleaned(spark, d):
     return lines.without_repeated_lines(table(spark, d, "content_blocks"))
 
 
+#: The near-duplicates of TESTDATA.md: three-word runs, texts of 40 words, half of the union in common.
+NEAR = neardup.Settings(run=3, least_words=40, similarity=0.5)
+
+
+def _texts(blocks):
+    return blocks.select(F.col("block_id").alias("id"), "text")
+
+
+def p7_found(spark, d):
+    """Links between classes of equal texts, and each further member with its class's representative."""
+    links, classes = neardup.near_duplicates(_texts(table(spark, d, "content_blocks")), NEAR)
+    members = classes.where("id <> representative").selectExpr("representative AS block_a", "id AS block_b")
+    return links.selectExpr("a AS block_a", "b AS block_b").unionByName(members)
+
+
+def p7_classes(spark, d):
+    """One row per text: its class and the number of links of the class."""
+    links, classes = neardup.near_duplicates(_texts(table(spark, d, "content_blocks")), NEAR)
+    ends = links.select(F.explode(F.array("a", "b")).alias("representative")).groupBy("representative").agg(F.count(F.lit(1)).alias("links"))
+    return classes.join(ends, "representative", "left").select(F.col("id").alias("block_id"), F.col("representative").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
 _P6 = r"""
 WITH l AS (
   SELECT block_id, page_id, lower(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS site,
@@ -48,7 +72,7 @@ s AS (SELECT site, count(DISTINCT page_id) AS whole FROM c GROUP BY ALL),
 f AS (SELECT DISTINCT block_id, line_no FROM c JOIN n USING (site, key) JOIN s USING (site) WHERE pages >= 4 AND pages * 10 >= whole * 3)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_kinds": p1_kinds, "p3_found": p3_found, "p3_bodies": p3_bodies, "p6_found": p6_found, "p6_cleaned": p6_cleaned}
+QUERIES = {"p1_found": p1_found, "p1_kinds": p1_kinds, "p3_found": p3_found, "p3_bodies": p3_bodies, "p6_found": p6_found, "p6_cleaned": p6_cleaned, "p7_found": p7_found, "p7_classes": p7_classes}
 
 ORACLE = {
     "p6_found": _P6 + "SELECT block_id, CAST(line_no AS BIGINT) AS line_no FROM f",
