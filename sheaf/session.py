@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Settings a job should start with; cluster sizes belong to the deployment.
 DEFAULTS = {
@@ -49,3 +50,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = os.path.join(shared_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a few short columns that are broadcast at most.
+SMALL_ROWS = 1_000_000
+
+
+def small(rows: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """rows with a broadcast hint if they are few enough (counted by a job), else as they are, for a shuffle join."""
+    return F.broadcast(rows) if rows.count() <= most else rows
