@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sheaf.llm import boilerplate, lines, neardup, residue
+from sheaf.llm import boilerplate, lines, neardup, pieces, residue
 from sheaf.sources.tables import table
 
 
@@ -20,6 +20,19 @@ def _residue(spark, d):
     return residue.residue_records(residue.all_records(table(spark, d, "content_blocks"), table(spark, d, "pitch_sections")))
 
 
+def _pieces(spark, d):
+    items = pieces.all_items(table(spark, d, "content_blocks"), table(spark, d, "content_chunks"))
+    return pieces.oversized_pieces(items, table(spark, d, "size_limits"))
+
+
+def p2_found(spark, d):
+    return _pieces(spark, d).where("piece_no > 0").select("item_kind", "item_id").distinct()
+
+
+def p2_pieces(spark, d):
+    return _pieces(spark, d)
+
+
 def p3_found(spark, d):
     bodies = boilerplate.page_bodies(table(spark, d, "content_blocks"))
     cases = residue.residue_records(residue.block_records(table(spark, d, "content_blocks")))
@@ -72,9 +85,12 @@ s AS (SELECT site, count(DISTINCT page_id) AS whole FROM c GROUP BY ALL),
 f AS (SELECT DISTINCT block_id, line_no FROM c JOIN n USING (site, key) JOIN s USING (site) WHERE pages >= 4 AND pages * 10 >= whole * 3)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_kinds": p1_kinds, "p3_found": p3_found, "p3_bodies": p3_bodies, "p6_found": p6_found, "p6_cleaned": p6_cleaned, "p7_found": p7_found, "p7_classes": p7_classes}
+QUERIES = {"p1_found": p1_found, "p1_kinds": p1_kinds, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_bodies": p3_bodies, "p6_found": p6_found, "p6_cleaned": p6_cleaned, "p7_found": p7_found, "p7_classes": p7_classes}
 
 ORACLE = {
+    "p2_found": """
+      SELECT DISTINCT item_kind, block_id AS item_id FROM content_blocks, size_limits WHERE item_kind = 'content_blocks' AND length(text) > max_chars
+      UNION ALL SELECT DISTINCT item_kind, chunk_id FROM content_chunks, size_limits WHERE item_kind = 'content_chunks' AND length(content) > max_chars""",
     "p6_found": _P6 + "SELECT block_id, CAST(line_no AS BIGINT) AS line_no FROM f",
     "p6_cleaned": _P6
     + """, b AS (SELECT block_id, any_value(text) AS text FROM content_blocks GROUP BY block_id),
