@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sheaf.llm import boilerplate, lines, neardup, pieces, residue
+from sheaf.llm import boilerplate, bpe, language, lines, mixing, neardup, pieces, residue
+from sheaf.session import stored
 from sheaf.sources.tables import table
 
 
@@ -73,6 +74,38 @@ def p7_classes(spark, d):
     return classes.join(ends, "representative", "left").select(F.col("id").alias("block_id"), F.col("representative").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
+def p8_ids(spark, d):
+    return bpe.token_ids(table(spark, d, "documents"), ["doc_id"])
+
+
+def p8_counts(spark, d):
+    return bpe.token_counts(table(spark, d, "documents"), ["doc_id", "source"])
+
+
+def _counted(spark, d):
+    return stored(bpe.token_counts(table(spark, d, "documents"), ["doc_id", "source"]), "counted")
+
+
+def p9_mix(spark, d):
+    return mixing.mix(_counted(spark, d), table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark, d):
+    return mixing.shares(_counted(spark, d), table(spark, d, "mix_targets"))
+
+
+def p10_found(spark, d):
+    return language.mislabelled_lines(table(spark, d, "documents")).select("doc_id", "line_no", "lang")
+
+
+def p10_lines(spark, d):
+    return language.line_languages(table(spark, d, "documents")).select("doc_id", "line_no", "label", "lang", "confidence")
+
+
+def p10_documents(spark, d):
+    return language.document_languages(table(spark, d, "documents"))
+
+
 _P6 = r"""
 WITH l AS (
   SELECT block_id, page_id, lower(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS site,
@@ -85,7 +118,25 @@ s AS (SELECT site, count(DISTINCT page_id) AS whole FROM c GROUP BY ALL),
 f AS (SELECT DISTINCT block_id, line_no FROM c JOIN n USING (site, key) JOIN s USING (site) WHERE pages >= 4 AND pages * 10 >= whole * 3)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_kinds": p1_kinds, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_bodies": p3_bodies, "p6_found": p6_found, "p6_cleaned": p6_cleaned, "p7_found": p7_found, "p7_classes": p7_classes}
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_kinds": p1_kinds,
+    "p2_found": p2_found,
+    "p2_pieces": p2_pieces,
+    "p3_found": p3_found,
+    "p3_bodies": p3_bodies,
+    "p6_found": p6_found,
+    "p6_cleaned": p6_cleaned,
+    "p7_found": p7_found,
+    "p7_classes": p7_classes,
+    "p8_ids": p8_ids,
+    "p8_counts": p8_counts,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_lines": p10_lines,
+    "p10_documents": p10_documents,
+}
 
 ORACLE = {
     "p2_found": """
