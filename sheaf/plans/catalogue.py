@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from sheaf.plans import data_queries
+from sheaf.plans import data_queries, page_queries
 
-QUERIES = {**data_queries.QUERIES}
-ORACLE = {**data_queries.ORACLE}
+MODULES = (data_queries, page_queries)
+QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
+ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}

@@ -34,7 +34,7 @@ WITH given AS (
     lower(regexp_extract(bare, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)', 1))
       || substr(bare, length(regexp_extract(bare, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)', 1)) + 1) AS url_key,
     CASE WHEN length(digits) = 32 THEN digits
-      ELSE substr(sha256(trim(regexp_replace(lower(coalesce(page_text, '')), '\s+', ' ', 'g'))), 1, 32) END AS hash
+      ELSE substr(sha256(trim(regexp_replace(lower(coalesce(page_text, '')), '[\t-\r \x{85}\p{Z}]+', ' ', 'g'))), 1, 32) END AS hash
   FROM given
 ), pages AS (
   SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY product_id, extraction_id, url_key
