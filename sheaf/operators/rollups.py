@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheaf.session import small
+
 
 def rate(part: Column, whole: Column) -> Column:
     """part / whole, 0 without a whole."""
@@ -47,10 +49,11 @@ def usage_cost(calls: DataFrame, rates: DataFrame, default_model: str) -> DataFr
     model without a rate counts at the default model's. Input and output tokens
     make the tokens; cached ones don't.
     """
-    r = F.broadcast(rates.select(F.col("model").alias("_m"), "input_per_m", "output_per_m"))
-    fallback = F.broadcast(rates.where(F.col("model") == default_model).select(F.col("input_per_m").alias("_i"), F.col("output_per_m").alias("_o")).limit(1))
-    rows = calls.join(r, F.col("model") == F.col("_m"), "left").crossJoin(fallback)  # one row
-    cost = (F.col("input_tokens") * F.coalesce("input_per_m", "_i") + F.col("output_tokens") * F.coalesce("output_per_m", "_o")) / 1e6
+    r = small(rates.select(F.col("model").alias("_m"), "input_per_m", "output_per_m"))
+    usual = rates.where(F.col("model") == default_model).first()
+    i, o = (F.lit(usual[c] if usual else None).cast("double") for c in ("input_per_m", "output_per_m"))
+    rows = calls.join(r, F.col("model") == F.col("_m"), "left")
+    cost = (F.col("input_tokens") * F.coalesce("input_per_m", i) + F.col("output_tokens") * F.coalesce("output_per_m", o)) / 1e6
     return rows.rollup("model").agg(
         F.count(F.lit(1)).alias("requests"), F.sum(F.col("input_tokens") + F.col("output_tokens")).cast("long").alias("tokens"), F.round(F.sum(cost), 4).alias("cost")
     )

@@ -61,3 +61,19 @@ def line_changes(pages: DataFrame) -> DataFrame:
     both = two.groupBy("product_id").agg(F.max("back").alias("n")).where("n = 2").select("product_id")
     seen = hashes.groupBy("product_id", "hash").agg(F.bit_or("bit").alias("seen")).where("seen < 3").join(both, "product_id", "left_semi")
     return seen.select("product_id", F.when(F.col("seen") == 1, "new").otherwise("removed").alias("change"), "hash")
+
+
+def newest_diff(pages: DataFrame) -> DataFrame:
+    """Pages of the newest two snapshots of each product by status: product_id, url_key, status.
+
+    pages has one row per page of a snapshot (product_id, extraction_id,
+    started_at, url_key, content_hash). With one snapshot every page is added.
+    One grouped pass instead of a full join: each page has at most two rows.
+    """
+    snaps = pages.groupBy("product_id", "extraction_id").agg(F.min("started_at").alias("_at"))
+    back = F.row_number().over(Window.partitionBy("product_id").orderBy(F.col("_at").desc(), F.col("extraction_id").desc()))
+    two = snaps.select("product_id", "extraction_id", back.alias("back")).where("back <= 2")
+    rows = pages.join(two, ["product_id", "extraction_id"])
+    sides = rows.groupBy("product_id", "url_key").agg(F.max(F.when(F.col("back") == 1, F.col("content_hash"))).alias("new"), F.max(F.when(F.col("back") == 2, F.col("content_hash"))).alias("old"))
+    status = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("new") != F.col("old"), "modified").otherwise("unchanged")
+    return sides.select("product_id", "url_key", status.alias("status"))
