@@ -30,14 +30,14 @@ def rates(docs: DataFrame, targets: DataFrame) -> DataFrame:
     A source without tokens has rate 0, a null max_repeats is no limit. Targets of
     one mix that spell one source in several ways are one target.
     """
-    all_tokens = docs.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("all_tokens"))
+    all_tokens = docs.agg(F.sum("tokens")).first()[0] or 0
     by_source = docs.groupBy(source_key(F.col("source")).alias("source")).agg(F.sum("tokens").alias("source_tokens"), F.count(F.lit(1)).alias("source_docs"))
     weight = F.greatest(F.coalesce("target_weight", F.lit(0.0)), F.lit(0.0))
     t = targets.groupBy("mix_id", source_key(F.col("source")).alias("source")).agg(F.sum(weight).alias("weight"), F.max("max_repeats").alias("most"), F.max("total_ratio").alias("ratio"))
     sums = t.groupBy("mix_id").agg(F.sum("weight").alias("weights")).withColumnRenamed("mix_id", "_mix")
-    t = t.join(sums, F.col("mix_id").eqNullSafe(F.col("_mix"))).join(by_source, "source", "left").crossJoin(F.broadcast(all_tokens))  # one row
+    t = t.join(sums, F.col("mix_id").eqNullSafe(F.col("_mix"))).join(by_source, "source", "left")
     share = F.coalesce(F.try_divide("weight", "weights"), F.lit(0.0))
-    wanted = share * F.col("ratio") * F.col("all_tokens")
+    wanted = share * F.col("ratio") * F.lit(all_tokens)
     rate = F.when(F.col("source_tokens") > 0, F.least(wanted / F.col("source_tokens"), F.col("most").cast("double"))).otherwise(0.0)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     return t.select("mix_id", "source", share.alias("target_share"), zero("source_tokens"), zero("source_docs"), wanted.alias("wanted_tokens"), F.greatest(F.coalesce(rate, F.lit(0.0)), F.lit(0.0)).alias("rate"))
