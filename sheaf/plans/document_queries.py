@@ -26,9 +26,10 @@ def snapshot_diff_counts(spark, d):
 
 
 def first_snapshots(spark, d):
-    """Products seen once: everything is added."""
+    """The first snapshot of each product, against nothing: all its pages are added."""
     pages = snapshot_cells.snapshot_page_rows(table(spark, d, "snapshot_pages"))
-    return pages.groupBy("product_id").agg(F.countDistinct("extraction_id").alias("n"), F.count(F.lit(1)).alias("pages")).where("n = 1").select("product_id", "pages")
+    counts = pages.groupBy("product_id", "extraction_id").agg(F.min("started_at").alias("at"), F.count(F.lit(1)).alias("added"))
+    return counts.groupBy("product_id").agg(F.min_by("added", F.struct("at", "extraction_id")).alias("added"))
 
 
 def visual_inventory(spark, d):
@@ -141,7 +142,7 @@ _WORDS = r"len(regexp_extract_all({0}, '[^\t-\r ]+'))"
 ORACLE = {
     "snapshot_diff": _NEWEST + " SELECT product_id, url_key, status FROM f",
     "snapshot_diff_counts": _NEWEST + " SELECT status, count(*) AS pages FROM f GROUP BY status",
-    "first_snapshots": _PAGES + " SELECT product_id, count(*) AS pages FROM pages GROUP BY product_id HAVING count(DISTINCT extraction_id) = 1",
+    "first_snapshots": _PAGES + ", c AS (SELECT product_id, extraction_id, min(started_at) AS began, count(*) AS added FROM pages GROUP BY ALL) SELECT product_id, added FROM c QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY began, extraction_id) = 1",
     "visual_inventory": _INV + " SELECT owner, asset_id, asset_type, kind FROM inv",
     "visual_totals": _INV + " SELECT owner, kind, count(*) AS assets FROM inv GROUP BY ALL",
     "image_files": _IMG + r""" SELECT DISTINCT url, substr(md5(url), 1, 12) || CASE WHEN regexp_matches(regexp_replace(url, '[?#].*$', ''), '\.[A-Za-z0-9]{1,5}$') THEN lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '(\.[A-Za-z0-9]{1,5})$', 1)) ELSE '.jpg' END AS file FROM i""",
