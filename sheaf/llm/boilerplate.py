@@ -141,7 +141,7 @@ def common_lines(a: list[int], where: dict[int, list[int]]) -> tuple[list[int],
         at_a.append(link[0])
         at_b.append(link[1])
         link = link[2]
-    return at_a, at_b
+    return at_a[::-1], at_b[::-1]
 
 
 class _Page:

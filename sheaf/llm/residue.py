@@ -143,6 +143,8 @@ def _evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if found:
                 full = sum(any(c.isalpha() for c in p) for p in parts)
                 out += [(i, p, k, full <= len(found)) for p, k in found]
+        if not out:
+            continue
         picked = rows.iloc[[o[0] for o in out]]
         yield pd.DataFrame({
             "item_kind": picked["item_kind"].to_numpy(), "item_id": picked["item_id"].to_numpy(), "source": picked["source"].to_numpy(), "page": picked["page"].to_numpy(),
