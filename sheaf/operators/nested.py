@@ -172,9 +172,12 @@ def flatten_variant(df: DataFrame, key: str, column: str) -> dict[str, DataFrame
     rows = df.select(F.col(key), _surrogate(F.col(key), "").alias("_parent"), none, F.col(column).alias("_v"))
     first = rows.select(key, "_parent", "_at", F.posexplode(as_list(F.col("_v"))).alias("_pos", "value"))
     tables[""] = _placed(first, key, "")
-    todo = [("", parse_schema(merged_schema(tables[""], "value")))]
+    todo: list[tuple[str, object]] = [("", "VARIANT")]
     while todo:
         name, kind = todo.pop(0)
+        if kind == "VARIANT":  # elements of several kinds: the fields are those of the objects among them
+            objects = tables[name].where(F.startswith(F.schema_of_variant("value"), F.lit("OBJECT")))
+            kind = parse_schema(merged_schema(objects, "value"))
         paths = [("$", name, kind)]
         while paths:
             at, label, k = paths.pop(0)
