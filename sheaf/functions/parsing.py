@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def fenced(text: Column) -> Column:
@@ -102,3 +103,14 @@ def hex_rgb(colour: Column) -> Column:
     bare = F.regexp_extract(colour, r"^#?([0-9A-Fa-f]{6})$", 1)
     part = lambda i: F.conv(F.substring(bare, i, 2), 16, 10).cast("int")
     return F.when(bare != "", F.array(part(1), part(3), part(5)))
+
+
+def schema_instructions(schema: T.StructType) -> str:
+    """What a model is told about the JSON it has to answer with."""
+    return "Answer with JSON only, of this schema:\n```json\n" + schema.json() + "\n```"
+
+
+def checked(text: Column, schema: T.StructType, required: list[str]) -> Column:
+    """JSON of a text as a struct; null where it doesn't parse or lacks a required field."""
+    value = F.from_json(extracted_json(text), schema)
+    return F.when(value.isNotNull() & F.array_size(F.array_compact(F.array(*[value[r].cast("string") for r in required]))).eqNullSafe(len(required)), value)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.functions import fingerprints as fp
@@ -80,3 +80,40 @@ def call_to_action(sections: DataFrame) -> DataFrame:
     first = rows.groupBy("pitch_id").agg(F.min_by(F.coalesce("key_points", F.array().cast("array<string>")), F.struct("section_order", "section_id")).alias("k"))
     steps = F.slice("k", F.lit(3), F.greatest(F.size("k"), F.lit(1)))
     return first.select("pitch_id", F.coalesce(F.get("k", F.lit(0)), F.lit("Learn more")).alias("first_call"), F.get("k", F.lit(1)).alias("second_call"), F.array_join(steps, " | ").alias("steps"))
+
+
+def context(products: DataFrame) -> DataFrame:
+    """One row per product with every variable of a prompt; what is missing has its usual stand-in.
+
+    products has product, audience, industry, company, pain_points (array),
+    features (array of struct name, description, benefits) and benefits (array of
+    struct headline, description). Lists are cut: 10 features with 2 benefits
+    each, 10 benefits, 5 names.
+    """
+    line = lambda i, a, b: F.concat((i + 1).cast("string"), F.lit(". "), F.coalesce(a, F.lit("")), F.lit(": "), F.coalesce(b, F.lit("")))
+    more = lambda f: F.when(F.size(f["benefits"]) > 0, F.concat(F.lit("\n   Benefits: "), F.array_join(F.slice(f["benefits"], 1, 2), ", "))).otherwise("")
+    features = F.array_join(F.transform(F.slice("features", 1, 10), lambda f, i: F.concat(line(i, f["name"], f["description"]), more(f))), "\n")
+    benefits = F.array_join(F.transform(F.slice("benefits", 1, 10), lambda b, i: line(i, b["headline"], b["description"])), "\n")
+    some = lambda c, other: F.when(F.length(c) > 0, c).otherwise(other)
+    return products.select(
+        "product", some(F.col("audience"), "general business audience").alias("target_audience"), some(F.col("industry"), "general").alias("industry"), some(F.col("company"), "your company").alias("company_name"),
+        some(F.array_join("pain_points", ", "), "common industry challenges").alias("pain_points"), some(features, "No specific features available").alias("features_list"), some(benefits, "No specific benefits available").alias("benefits_list"),
+        F.coalesce(F.array_join(F.transform(F.slice("features", 1, 5), lambda f: f["name"]), ", "), F.lit("")).alias("key_features"),
+    )
+
+
+def highlights(features: DataFrame, most: int = 5) -> DataFrame:
+    """The first features of each owner (owner, pos, name, description, benefits): headline of 100 characters and first benefit."""
+    place = F.row_number().over(Window.partitionBy("owner").orderBy("pos", "name"))
+    rows = features.withColumn("place", place).where(F.col("place") <= most)
+    return rows.select("owner", "place", "name", F.substring("description", 1, 100).alias("headline"), F.coalesce(F.get("benefits", F.lit(0)), F.lit("")).alias("benefit"))
+
+
+def variants(pitches: DataFrame, audiences: list[str]) -> DataFrame:
+    """A copy of each pitch per audience."""
+    return pitches.withColumn("audience", F.explode(F.array(*[F.lit(a) for a in audiences])))
+
+
+def variant(rows: DataFrame, audience: str) -> DataFrame:
+    """The copies for one audience, in any letter case."""
+    return rows.where(F.lower("audience") == audience.lower())

@@ -132,7 +132,7 @@ def _heading_before(n: Node) -> str | None:
     return last
 
 
-def blocks_of(root: Node) -> list[dict]:
+def blocks_of(root: Node, base: str = "") -> list[dict]:
     """Blocks by kind (headings, paragraphs, lists, quotes, code, definitions), each kind in document order."""
     nodes = content_nodes(root)
     kinds: list[list[dict]] = [[] for _ in range(6)]
@@ -141,7 +141,7 @@ def blocks_of(root: Node) -> list[dict]:
         if n.tag in HEADINGS and len(text := n.text(left_out)) >= LEAST["heading"]:
             kinds[0].append({"kind": "heading", "text": text, "level": int(n.tag[1])})
         elif n.tag == "p" and len(text := n.text(left_out)) >= LEAST["paragraph"]:
-            kinds[1].append({"kind": "paragraph", "text": text, "parent": _heading_before(n)})
+            kinds[1].append({"kind": "paragraph", "text": text, "parent": _heading_before(n), "images": nearby_images(n, base)})
         elif n.tag in ("ul", "ol"):
             items = [t for c in n.children if isinstance(c, Node) and c.tag == "li" and len(t := c.text(left_out)) >= LEAST["item"]]
             if items:
@@ -242,30 +242,80 @@ def metadata_of(root: Node) -> dict:
     return meta
 
 
+# Candidates for the parts of a page, in order; a name is a tag, ".x" a class, "#x" an id, "[role=x]" a role.
+PARTS = {
+    "navigation": ("nav", "[role=navigation]", ".navigation", ".nav", ".menu", "#nav"),
+    "main": ("main", "[role=main]", "#main", "#content", ".content", "article"),
+    "sidebar": ("aside", ".sidebar", "[role=complementary]", "#sidebar"),
+    "footer": ("footer", "[role=contentinfo]", "#footer", ".footer"),
+}
+MAIN_CHARS = 100
+# Marks of elements a visitor works with.
+INTERACTIVE = {"tabs": ("[role=tab]", ".tab", ".tabs"), "accordions": ("details", ".accordion", ".collapse"), "modals": (".modal", "dialog", "[role=dialog]"), "cookies": (".cookie-banner", "#cookie-banner", ".cookie-consent", ".consent")}
+
+
+def matches(n: Node, selector: str) -> bool:
+    """Whether an element meets a simple selector: tag, .class, #id or [role=value]."""
+    if selector.startswith("."):
+        return selector[1:] in n.attrs.get("class", "").split()
+    if selector.startswith("#"):
+        return n.attrs.get("id") == selector[1:]
+    if selector.startswith("[role="):
+        return n.attrs.get("role") == selector[6:-1]
+    return n.tag == selector
+
+
+def structure_of(root: Node, base: str) -> dict:
+    """The first selector found for each part (the main part needs some text), counts of interactive elements, and rooted tab links."""
+    nodes = list(root.walk())
+    out: dict = {}
+    for part, selectors in PARTS.items():
+        out[part] = next((s for s in selectors if any(matches(n, s) and (part != "main" or len(n.text()) > MAIN_CHARS) for n in nodes)), None)
+    for kind, selectors in INTERACTIVE.items():
+        out[kind] = sum(any(matches(n, s) for s in selectors) for n in nodes)
+    inside = lambda n: any(matches(a, s) for a in (n, *n.above()) for s in INTERACTIVE["tabs"])
+    out["tab_links"] = list(dict.fromkeys(urljoin(base, n.attrs["href"]) for n in nodes if n.tag == "a" and n.attrs.get("href", "").startswith("/") and inside(n)))
+    return out
+
+
+def nearby_images(n: Node, base: str) -> list[str]:
+    """Images that belong to an element: inside it, in a figure or card around it, or right before it; embedded data is no image."""
+    found = [c for c in n.walk() if c.tag == "img"]
+    p = n.parent
+    if p is not None and (p.tag == "figure" or any(w in p.attrs.get("class", "").lower() for w in ("card", "feature", "item"))):
+        found += [c for c in p.children if isinstance(c, Node) and c.tag == "img"]
+    before = [c for c in p.children[: p.children.index(n)] if isinstance(c, Node)] if p is not None else []
+    if before and before[-1].tag in ("img", "figure"):
+        found += [c for c in before[-1].walk() if c.tag == "img"]
+    sources = [c.attrs.get("src") or c.attrs.get("data-src", "") for c in found]
+    return list(dict.fromkeys(urljoin(base, s) for s in sources if s and not s.startswith("data:")))
+
+
 def parsed(html: str | None, url: str | None) -> dict:
     """Everything of a page; null and empty html give an empty page, a parser error too (never a failed task)."""
     root = tree(html or "")
     base = url or ""
     tables = [table_of(n) for n in content_nodes(root) if n.tag == "table" and n.attrs.get("role") != "presentation"]
-    return {"blocks": blocks_of(root), "tables": tables, "images": images_of(root, base), "links": links_of(root, base), "meta": metadata_of(root)}
+    return {"blocks": blocks_of(root, base), "tables": tables, "images": images_of(root, base), "links": links_of(root, base), "meta": metadata_of(root), "structure": structure_of(root, base)}
 
 
-_BLOCK = "struct<kind:string,text:string,level:int,items:array<string>,parent:string>"
+_BLOCK = "struct<kind:string,text:string,level:int,items:array<string>,parent:string,images:array<string>>"
 SCHEMA = (
     f"page_id long, url string, title string, description string, keywords array<string>, canonical string, json_ld int, blocks array<{_BLOCK}>, tables array<struct<caption:string,headers:array<string>,rows:array<array<string>>>>, "
-    "images array<struct<url:string,alt:string,classes:string,width:int,height:int,caption:string>>, links array<struct<url:string,text:string,kind:string>>"
+    "images array<struct<url:string,alt:string,classes:string,width:int,height:int,caption:string>>, links array<struct<url:string,text:string,kind:string>>, "
+    "structure struct<navigation:string,main:string,sidebar:string,footer:string,tabs:int,accordions:int,modals:int,cookies:int,tab_links:array<string>>"
 )
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    full = {"level": None, "items": None, "parent": None}
+    full = {"level": None, "items": None, "parent": None, "images": []}
     for rows in batches:
         out = []
         for i, url, html in zip(rows["page_id"], rows["url"], rows["html"]):
             p = parsed(html, url)
             m = p["meta"]
-            out.append((i, url, m["title"], m["description"], m["keywords"], m["canonical"], m["json_ld"], [full | b for b in p["blocks"]], p["tables"], p["images"], p["links"]))
-        yield pd.DataFrame(out, columns=["page_id", "url", "title", "description", "keywords", "canonical", "json_ld", "blocks", "tables", "images", "links"])
+            out.append((i, url, m["title"], m["description"], m["keywords"], m["canonical"], m["json_ld"], [full | b for b in p["blocks"]], p["tables"], p["images"], p["links"], p["structure"]))
+        yield pd.DataFrame(out, columns=["page_id", "url", "title", "description", "keywords", "canonical", "json_ld", "blocks", "tables", "images", "links", "structure"])
 
 
 def pages(raw: DataFrame) -> DataFrame:
@@ -275,5 +325,5 @@ def pages(raw: DataFrame) -> DataFrame:
 
 
 def page_blocks(raw: DataFrame) -> DataFrame:
-    """The blocks of pages: page_id, block_no (from 0), kind, text, level, items, parent."""
+    """The blocks of pages: page_id, block_no (from 0), kind, text, level, items, parent, images."""
     return pages(raw).select("page_id", F.posexplode("blocks").alias("block_no", "b")).select("page_id", "block_no", "b.*")

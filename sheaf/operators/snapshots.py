@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.functions import fingerprints as fp
+from sheaf.functions import rules, urls
 
 # Pages of each kind in a crawl plan, in order of priority; pages in all; kinds left out.
 PLAN = {"features": 10, "pricing": 2, "documentation": 5}
@@ -77,3 +78,23 @@ def newest_diff(pages: DataFrame) -> DataFrame:
     sides = rows.groupBy("product_id", "url_key").agg(F.max(F.when(F.col("back") == 1, F.col("content_hash"))).alias("new"), F.max(F.when(F.col("back") == 2, F.col("content_hash"))).alias("old"))
     status = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("new") != F.col("old"), "modified").otherwise("unchanged")
     return sides.select("product_id", "url_key", status.alias("status"))
+
+
+def site_analysis(pages: DataFrame) -> DataFrame:
+    """One row per site (site, page_id, url, html, text, main, navigation by page or block): pages, categories, framework, loading, confidence.
+
+    The framework is the first in the fixed order among those found on any page.
+    """
+    h = F.col("html")
+    names = list(rules.SITE_FRAMEWORKS)
+    found = rules.site_framework(h, F.col("text"))
+    rank = F.array_position(F.array(*[F.lit(n) for n in names]), F.when(found != "unknown", found))
+    rows = pages.select("site", "page_id", urls.category(F.col("url")).alias("category"), F.when(rank > 0, rank).alias("rank"), F.coalesce(rules.lazy_marks(h), F.lit(0)).alias("lazy"), F.coalesce(rules.endless_scroll(h), F.lit(False)).alias("endless"), "main", "navigation")
+    of = lambda c: F.countDistinct(F.when(F.col("category") == c, F.col("page_id")))
+    sites = rows.groupBy("site").agg(
+        F.countDistinct("page_id").alias("pages"), of("features").alias("feature_pages"), of("pricing").alias("price_pages"), of("documentation").alias("doc_pages"), F.min("rank").alias("rank"),
+        (F.sum("lazy") > 3).alias("lazy_loading"), F.max("endless").alias("endless_scroll"), F.max("main").alias("main"), F.max("navigation").alias("navigation"),
+    )
+    framework = F.get(F.array(*[F.lit(n) for n in names]), (F.col("rank") - 1).cast("int"))
+    confidence = urls.site_confidence(F.col("main"), F.col("navigation"), F.col("pages"), F.col("feature_pages"), framework)
+    return sites.select("site", "pages", "feature_pages", "price_pages", "doc_pages", framework.alias("framework"), "lazy_loading", "endless_scroll", F.round(confidence, 4).alias("confidence"))

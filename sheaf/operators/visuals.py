@@ -101,3 +101,23 @@ def image_file(url: Column) -> Column:
     """The name a picture is stored under: 12 digits of the url's hash and its ending, .jpg without one."""
     ending = F.lower(F.regexp_extract(F.regexp_replace(url, r"[?#].*$", ""), r"(\.[A-Za-z0-9]{1,5})$", 1))
     return F.concat(fp.short_id(url), F.when(ending != "", ending).otherwise(".jpg"))
+
+
+def video_assets(videos: DataFrame) -> DataFrame:
+    """Videos (owner, url, embed_url, title, caption) as assets: the embedded address if there is one, the id from the plain one."""
+    about = F.concat_ws(" | ", "title", "caption")
+    return videos.where("url IS NOT NULL").select("owner", fp.short_id(F.col("url")).alias("asset_id"), F.lit("video").alias("asset_type"), F.coalesce("embed_url", "url").alias("url"), about.alias("text"), F.lit("video").alias("kind"))
+
+
+def selected(selections: DataFrame, assets: DataFrame, most: int = USUAL_MOST) -> DataFrame:
+    """Chosen assets (owner, section_type, pos, asset_id) that exist, in the order chosen, at most `most` a section."""
+    known = selections.join(assets.select("owner", "asset_id").distinct(), ["owner", "asset_id"], "left_semi")
+    place = F.row_number().over(Window.partitionBy("owner", "section_type").orderBy("pos"))
+    return known.withColumn("place", place).where(F.col("place") <= most)
+
+
+def relevance(section_text: Column, asset_text: Column) -> Column:
+    """Share of an asset's words that stand in a section's text: the offline ranking of assets for features and sections."""
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 2))
+    own = words(asset_text)
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(words(section_text), own)), F.size(own)), F.lit(0.0))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sheaf.functions.fingerprints import text_hash
 from sheaf.functions.parsing import hex_rgb, shortened
+from sheaf.functions.urls import netloc
 from sheaf.operators import assembly, html, snapshot_cells, snapshots, templates, visuals
 from sheaf.plans.page_queries import _IMG, B
 from sheaf.plans.record_queries import S, _sections
@@ -117,9 +118,38 @@ def title_hash_groups(spark, d):
     return table(spark, d, "documents").where("title IS NOT NULL").groupBy(text_hash(F.col("title")).alias("hash")).agg(F.count(F.lit(1)).alias("documents"))
 
 
+def site_analysis(spark, d):
+    """Analysis of each site from its blocks' urls, html and selectors."""
+    selector = lambda part: F.when(F.startswith("source_selector", F.lit(part)), F.col("source_selector"))
+    rows = _blocks(spark, d).where("url IS NOT NULL").select(F.lower(netloc(F.col("url"))).alias("site"), "page_id", "url", "html", "text", selector("main").alias("main"), selector("nav").alias("navigation"))
+    return snapshots.site_analysis(rows)
+
+
+def html_structure(spark, d):
+    """Parts and interactive elements of each block's html."""
+    rows = _blocks(spark, d).where("html IS NOT NULL").select(F.col("block_id").alias("page_id"), "html")
+    return html.pages(rows).select("page_id", "structure.main", "structure.navigation", "structure.tabs", F.size("links").alias("links"), F.size("tables").alias("tables"))
+
+
+def section_contexts(spark, d):
+    """The prompt variables of each product, from its pitch sections as features."""
+    feature = F.struct(F.coalesce("title", F.lit("")).alias("name"), F.coalesce(F.substring("content", 1, 200), F.lit("")).alias("description"), F.coalesce("key_points", F.array().cast("array<string>")).alias("benefits"))
+    benefit = F.struct(F.coalesce("title", F.lit("")).alias("headline"), F.lit("").alias("description"))
+    rows = _sections(spark, d).groupBy(F.col("product_id").alias("product")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("section_id", feature.alias("f")))), lambda x: x["f"]).alias("features"), F.transform(F.array_sort(F.collect_list(F.struct("section_id", benefit.alias("b")))), lambda x: x["b"]).alias("benefits")
+    )
+    none = F.lit(None).cast("string")
+    return assembly.context(rows.select("product", "features", "benefits", none.alias("audience"), none.alias("industry"), none.alias("company"), F.array().cast("array<string>").alias("pain_points")))
+
+
+def feature_highlights(spark, d):
+    rows = _sections(spark, d).where("content IS NOT NULL").select(F.col("pitch_id").alias("owner"), F.col("section_order").alias("pos"), F.concat_ws("-", "section_type", "section_id").alias("name"), F.col("content").alias("description"), F.col("key_points").alias("benefits"))
+    return assembly.highlights(rows, 3)
+
+
 QUERIES = {f.__name__: f for f in (
     snapshot_diff, snapshot_diff_counts, first_snapshots, visual_inventory, visual_totals, visual_candidates, image_files, mapping_validate, section_plan, pitch_markdown, pitch_text, pitch_totals, pitch_outline,
-    pitch_slides, pitch_calls, short_titles, template_history, template_variables, templates_rendered, html_blocks, title_hash_groups,
+    pitch_slides, pitch_calls, short_titles, template_history, template_variables, templates_rendered, html_blocks, title_hash_groups, site_analysis, html_structure, section_contexts, feature_highlights,
 )}
 
 from sheaf.plans.data_queries import _PAGES  # noqa: E402
@@ -162,5 +192,7 @@ ORACLE = {
     "short_titles": "SELECT doc_id, CASE WHEN length(title) > 20 THEN substr(title, 1, 17) || '...' ELSE title END AS title, CAST('0x' || substr(md5(title), 1, 2) AS INT) AS red FROM documents WHERE title IS NOT NULL",
     "template_history": f"WITH {S} SELECT section_type AS name, section_id AS seq, CAST(row_number() OVER (PARTITION BY section_type ORDER BY section_id DESC) - 1 AS INT) AS back, substr(sha256(section_type || ':' || section_id || ':' || coalesce(content, '')), 1, 12) AS hash FROM s",
     "template_variables": r"""WITH v AS (SELECT doc_id, regexp_extract_all('{{title}} {{lang}} {{title}} ' || text, '\{\{(?:#(?:if|each)\s+)?(\w+)\}\}', 1) AS v FROM documents WHERE text IS NOT NULL) SELECT doc_id, array_to_string(list_sort(list_distinct(v)), ',') AS variables FROM v""",
+    "feature_highlights": f"""WITH {S}, r AS (SELECT pitch_id AS owner, row_number() OVER (PARTITION BY pitch_id ORDER BY section_order, concat_ws('-', section_type, section_id)) AS place, concat_ws('-', section_type, section_id) AS name, substr(content, 1, 100) AS headline, coalesce(key_points[1], '') AS benefit FROM s WHERE content IS NOT NULL)
+      SELECT owner, CAST(place AS INT) AS place, name, headline, benefit FROM r WHERE place <= 3""",
     "title_hash_groups": f"SELECT {_hash('title')} AS hash, count(*) AS documents FROM documents WHERE title IS NOT NULL GROUP BY 1",
 }

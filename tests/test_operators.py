@@ -210,3 +210,25 @@ def test_model_calls(spark):
     bad = model.called(model.prompts(texts, ["features"]), failing, retries=2)
     assert [(r.answer, r.error, r.attempts) for r in bad.collect()] == [(None, "RuntimeError: down", 3)]
     assert [(r.confidence, r.aspects_ok) for r in model.run_totals(ok.unionByName(bad)).collect()] == [(0.6667, 2)]
+
+
+def test_page_structure_and_nearby_images():
+    page = '<nav class="menu"><a href="/t" >x</a></nav><main><p>%s</p></main><div class="tabs"><a href="/tab1">1</a><a href="/tab1">1</a><a href="x">2</a></div><div class="card"><img src="/c.png"><p>A paragraph in a card</p></div><details></details>' % ("word " * 40)
+    p = html.parsed(page, "https://a.test/")
+    s = p["structure"]
+    assert (s["main"], s["navigation"], s["sidebar"], s["tabs"], s["accordions"]) == ("main", "nav", None, 1, 1) and s["tab_links"] == ["https://a.test/tab1"]
+    assert [b["images"] for b in p["blocks"] if "card" in b["text"]] == [["https://a.test/c.png"]]
+
+
+def test_videos_selection_relevance_context_variants(spark):
+    v = spark.createDataFrame([("o", "u", "e", "t", None), ("o", "w", None, None, None), ("o", None, "e", None, None)], "owner string, url string, embed_url string, title string, caption string")
+    assert sorted(r.url for r in visuals.video_assets(v).collect()) == ["e", "w"]
+    picks = spark.createDataFrame([("o", "s", 0, "x"), ("o", "s", 1, "b"), ("o", "s", 2, "a"), ("o", "s", 3, "c")], "owner string, section_type string, pos int, asset_id string")
+    known = spark.createDataFrame([("o", "a"), ("o", "b"), ("o", "c"), ("o", "a")], "owner string, asset_id string")
+    assert [(r.asset_id, r.place) for r in visuals.selected(picks, known).orderBy("place").collect()] == [("b", 1), ("a", 2)]
+    assert spark.range(1).select(visuals.relevance(F.lit("quiet meter works"), F.lit("Meter, quiet")).alias("r")).first().r == 1.0
+    kind = "product string, audience string, industry string, company string, pain_points array<string>, features array<struct<name:string,description:string,benefits:array<string>>>, benefits array<struct<headline:string,description:string>>"
+    c = assembly.context(spark.createDataFrame([("p", None, "", None, [], [("n", "d", ["x", "y", "z"])], None)], kind)).first()
+    assert c.target_audience == "general business audience" and c.features_list == "1. n: d\n   Benefits: x, y" and c.benefits_list == "No specific benefits available"
+    both = assembly.variants(spark.createDataFrame([(1,)], "pitch_id int"), ["Manager", "Developer"])
+    assert both.count() == 2 and assembly.variant(both, "MANAGER").count() == 1
