@@ -118,6 +118,16 @@ s AS (SELECT site, count(DISTINCT page_id) AS whole FROM c GROUP BY ALL),
 f AS (SELECT DISTINCT block_id, line_no FROM c JOIN n USING (site, key) JOIN s USING (site) WHERE pages >= 4 AND pages * 10 >= whole * 3)
 """
 
+#: Brute force over shared word runs: fine for checking, quadratic in the texts of a run.
+_P7 = r"""
+WITH w AS (SELECT DISTINCT block_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM content_blocks WHERE text IS NOT NULL),
+  s AS (SELECT block_id, list_sort(list_distinct(list_transform(range(len(w) - 2), lambda i: w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]))) AS runs FROM w WHERE len(w) >= 40),
+  k AS (SELECT block_id, runs, min(block_id) OVER (PARTITION BY runs) AS rep FROM s),
+  g AS (SELECT rep AS id, unnest(runs) AS run, len(runs) AS n FROM k WHERE block_id = rep),
+  p AS (SELECT a.id AS a, b.id AS b, count(*) AS both_n, any_value(a.n) AS na, any_value(b.n) AS nb FROM g a JOIN g b ON a.run = b.run AND a.id < b.id GROUP BY a.id, b.id),
+  l AS (SELECT a, b FROM p WHERE both_n >= 0.5 * (na + nb - both_n) - 1e-9)
+"""
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_kinds": p1_kinds,
@@ -139,6 +149,8 @@ QUERIES = {
 }
 
 ORACLE = {
+    "p7_found": _P7 + "SELECT a AS block_a, b AS block_b FROM l UNION ALL SELECT rep, block_id FROM k WHERE block_id <> rep",
+    "p7_classes": _P7 + "SELECT block_id, rep AS class_id, (SELECT count(*) FROM l WHERE a = rep OR b = rep) AS links FROM k",
     "p2_found": """
       SELECT DISTINCT item_kind, block_id AS item_id FROM content_blocks, size_limits WHERE item_kind = 'content_blocks' AND length(text) > max_chars
       UNION ALL SELECT DISTINCT item_kind, chunk_id FROM content_chunks, size_limits WHERE item_kind = 'content_chunks' AND length(content) > max_chars""",
