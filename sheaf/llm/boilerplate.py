@@ -17,6 +17,7 @@ from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -113,6 +114,10 @@ class Cues:
         return all(self.counted.match(x.strip()) for x in lines) or "\n" not in text and (self.bread_crumb(text) or self.menu_row(text))
 
 
+#: Matching pairs of lines from which bit vectors are used, and bits of them that are held at once.
+MANY_MATCHES, HELD_BITS = 50_000, 400_000_000
+
+
 def positions(b: list[int]) -> dict[int, list[int]]:
     """Where each line stands, last place first."""
     where: dict[int, list[int]] = {}
@@ -121,8 +126,15 @@ def positions(b: list[int]) -> dict[int, list[int]]:
     return where
 
 
-def common_lines(a: list[int], where: dict[int, list[int]]) -> tuple[list[int], list[int]]:
-    """Positions in a and in b of a longest common subsequence (exact, by increasing runs of matches); where: positions(b)."""
+def common_lines(a: list[int], b: list[int], where: dict[int, list[int]]) -> tuple[list[int], list[int]]:
+    """Positions in a and in b of a longest common subsequence (exact); where: positions(b).
+
+    Lines that match seldom go by increasing runs of matches; pages that repeat
+    one line thousands of times go by bit vectors.
+    """
+    if len(a) * len(b) > MANY_MATCHES and sum(len(where.get(x, ())) for x in a) > MANY_MATCHES:
+        pairs = _dense(a, b)
+        return [i for i, _ in pairs], [j for _, j in pairs]
     ends: list[int] = []
     links: list[tuple | None] = []
     for i, x in enumerate(a):
@@ -144,6 +156,47 @@ def common_lines(a: list[int], where: dict[int, list[int]]) -> tuple[list[int],
     return at_a[::-1], at_b[::-1]
 
 
+def _bit_rows(a: list[int], b: list[int]) -> Iterator[int]:
+    """After each line of a, a number with a zero bit wherever a longer common subsequence ends in b."""
+    masks: dict[int, int] = {}
+    for j, x in enumerate(b):
+        masks[x] = masks.get(x, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    v = full
+    for x in a:
+        u = v & masks.get(x, 0)
+        v = ((v + u) | (v - u)) & full
+        yield v
+
+
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Length of a longest common subsequence of a and each beginning of b."""
+    v = (1 << len(b)) - 1
+    for v in _bit_rows(a, b):
+        pass
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(bits == 0)])
+
+
+def _dense(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """A longest common subsequence by bit vectors; halved where they would take too much memory."""
+    if len(a) > 1 and len(a) * len(b) > HELD_BITS:
+        mid = len(a) // 2
+        cut = int(np.argmax(_lengths(a[:mid], b) + _lengths(a[mid:][::-1], b[::-1])[::-1]))
+        return _dense(a[:mid], b[:cut]) + [(i + mid, j + cut) for i, j in _dense(a[mid:], b[cut:])]
+    rows = list(_bit_rows(a, b))
+    i, j, out = len(a), len(b), []
+    while i and j:
+        if rows[i - 1] >> (j - 1) & 1:
+            j -= 1
+        else:
+            i -= 1
+            if not i or rows[i - 1] >> (j - 1) & 1:
+                j -= 1
+                out.append((i, j))
+    return out[::-1]
+
+
 class _Page:
     __slots__ = ("site", "blocks", "keys", "spans", "shared", "mates", "where")
 
@@ -164,7 +217,7 @@ class _Page:
     def align(self, other: _Page) -> None:
         self.mates += 1
         other.mates += 1
-        for mine, theirs in zip(*common_lines(self.keys, other.where)):
+        for mine, theirs in zip(*common_lines(self.keys, other.keys, other.where)):
             self.shared[mine] += 1
             other.shared[theirs] += 1
 
@@ -216,14 +269,15 @@ def page_bodies(blocks: DataFrame) -> DataFrame:
     body is the text without deleted lines, null for furniture. Pages are told by
     page_id, their site and path by the least url among their blocks; a page
     without any belongs to the site of its extraction_id. Blocks with null page_id form one
-    page per extraction. Null and empty texts are no furniture and stay. Blocks
+    page per url, without url each its own. Null and empty texts are no furniture and stay. Blocks
     sent twice count once; an empty table gives no rows.
     """
     heading = F.coalesce(F.col("content_type") == "heading", F.lit(False)) | F.coalesce(F.col("source_selector").rlike("^h[1-6]$"), F.lit(False))
     block = F.struct("block_id", "block_order", "text", heading.alias("heading"))
     key = F.when(F.col("url").isNotNull(), F.struct(host(F.col("url")).alias("host"), F.regexp_replace(url_key(F.col("url")), r"^[a-z+.-]*://[^/?]*|\?.*$", "").alias("path")))
-    pages = blocks.select("page_id", "extraction_id", key.alias("key"), block.alias("block"))
-    pages = pages.groupBy("page_id", F.when(F.col("page_id").isNull(), F.col("extraction_id")).alias("_loose")).agg(
+    pages = blocks.select("page_id", "extraction_id", "url", key.alias("key"), block.alias("block"))
+    loose = F.when(F.col("page_id").isNull(), F.coalesce(url_key(F.col("url")), F.col("block.block_id").cast("string")))
+    pages = pages.groupBy("page_id", loose.alias("_loose")).agg(
         F.min("key").alias("key"), F.min("extraction_id").alias("extraction_id"), F.collect_list("block").alias("blocks")
     )
     sites = blocks.where("url IS NOT NULL").groupBy("extraction_id").agg(F.min(host(F.col("url"))).alias("_host"))

@@ -9,6 +9,7 @@ pair of every word at once. Words already met are kept per task.
 from __future__ import annotations
 
 import base64
+import heapq
 import os
 from collections.abc import Iterator
 from itertools import chain
@@ -78,13 +79,43 @@ def merge(words: list[bytes], table: tuple[np.ndarray, np.ndarray, np.ndarray])
     return done
 
 
+#: Bytes of a word from which it is merged on its own, by a queue instead of whole rounds.
+LONG = 2000
+
+
+def merge_long(word: bytes, single: np.ndarray, pairs: dict[int, int]) -> np.ndarray:
+    """Ids of one very long word: the lowest-ranked pair, the leftmost first, from a queue, so the time is n log n."""
+    ids = single[np.frombuffer(word, np.uint8)].tolist()
+    after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
+    queue = [(r, i) for i in range(len(ids) - 1) if (r := pairs.get(ids[i] << 20 | ids[i + 1])) is not None]
+    heapq.heapify(queue)
+    gone = -1
+    while queue:
+        rank, i = heapq.heappop(queue)
+        if ids[i] == gone or (j := after[i]) >= len(ids) or pairs.get(ids[i] << 20 | ids[j]) != rank:
+            continue
+        ids[i], after[i], ids[j] = rank, after[j], gone
+        if after[i] < len(ids):
+            before[after[i]] = i
+            if (r := pairs.get(rank << 20 | ids[after[i]])) is not None:
+                heapq.heappush(queue, (r, i))
+        if before[i] >= 0 and (r := pairs.get(ids[before[i]] << 20 | rank)) is not None:
+            heapq.heappush(queue, (r, before[i]))
+    return np.array([x for x in ids if x != gone], dtype=np.int32)
+
+
 class Encoder:
     """Ids of texts, with the words already met."""
 
     def __init__(self, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
         import regex
 
-        self.split, self.table, self.known = regex.compile(PATTERN).findall, table, {}
+        self.split, self.table, self.known, self.pairs = regex.compile(PATTERN).findall, table, {}, {}
+
+    def _long(self, word: bytes) -> np.ndarray:
+        if not self.pairs:
+            self.pairs = dict(zip(self.table[1].tolist(), self.table[2].tolist()))
+        return merge_long(word, self.table[0], self.pairs)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; none for null and empty texts. Lone surrogates count as the replacement character."""
@@ -93,7 +124,11 @@ class Encoder:
             self.known.clear()
         new = [w for w in dict.fromkeys(chain.from_iterable(parted)) if w not in self.known]
         if new:
-            self.known.update(zip(new, merge([w.encode("utf-8", "replace") for w in new], self.table)))
+            coded = [w.encode("utf-8", "replace") for w in new]
+            self.known.update((w, self._long(c)) for w, c in zip(new, coded) if len(c) >= LONG)
+            short = [(w, c) for w, c in zip(new, coded) if len(c) < LONG]
+            if short:
+                self.known.update(zip((w for w, _ in short), merge([c for _, c in short], self.table)))
         known = self.known
         return [np.concatenate([known[w] for w in p]) if p else np.empty(0, np.int32) for p in parted]
 

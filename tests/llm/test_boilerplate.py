@@ -25,8 +25,19 @@ def test_common_lines_is_a_longest_common_subsequence():
     r = random.Random(0)
     for _ in range(300):
         a, b = ([r.randint(0, 6) for _ in range(r.randint(0, 12))] for _ in range(2))
-        x, y = B.common_lines(a, B.positions(b))
-        assert len(x) == brute(a, b) and [a[i] for i in x] == [b[j] for j in y] and x == sorted(x) and y == sorted(y)
+        pairs = B._dense(a, b)
+        for x, y in (B.common_lines(a, b, B.positions(b)), ([i for i, _ in pairs], [j for _, j in pairs])):
+            assert len(x) == brute(a, b) and [a[i] for i in x] == [b[j] for j in y] and x == sorted(x) and y == sorted(y)
+
+
+def test_lines_repeated_thousands_of_times(monkeypatch):
+    a, b = [1, 2] * 4000 + [3], [2] * 3000 + [4] + [1] * 3000 + [3]
+    x, y = B.common_lines(a, b, B.positions(b))
+    best = len(x)
+    assert [a[i] for i in x] == [b[j] for j in y] and best == 4001
+    monkeypatch.setattr(B, "HELD_BITS", 1_000_000)
+    x, y = B.common_lines(a, b, B.positions(b))
+    assert len(x) == best and [a[i] for i in x] == [b[j] for j in y] and x == sorted(x) and y == sorted(y)
 
 
 def test_shared_blocks_go_and_main_stays(spark):

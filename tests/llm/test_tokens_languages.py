@@ -35,7 +35,7 @@ def test_ids_equal_the_public_tokenizer(encoder, public, text):
 
 @needs
 def test_hard_texts(encoder, public):
-    texts = ["a" * 1000, " " * 77 + "x", "<|endoftext|>", "it's we'll", "\r\n\n\t", "naïve 漢字 🙂🙂", "x" + "ab" * 500, "0123456789" * 30]
+    texts = ["a" * 1000, " " * 77 + "x", "<|endoftext|>", "it's we'll", "\r\n\n\t", "naïve 漢字 🙂🙂", "x" + "ab" * 500, "0123456789" * 30, "漢字かな交じり文" * 3000, "abracadabra" * 20_000, "é" * 5001]
     assert [x.tolist() for x in encoder.encode(texts)] == [public.encode(t, add_special_tokens=False).ids for t in texts]
 
 
