@@ -68,7 +68,8 @@ ERROR_PAGE = (
     r"\blog ?in required\b", r"\byou (?:must|need to|have to) (?:be logged in|log in|sign in) to\b", r"^\W*(?:p>)?forbidden\b\s*[:\-.!]", r"\byou (?:don't|do not) have permission\b", r"^\W*(?:p>)?access denied\b", r"\bcould not connect to (?:the )?database\b", r"\buncaught (?:exception|error|\w*error)\b", r"\bstack trace\b", r"\bupstream (?:timed out|error|connect)\b",
     r"\bbackend fetch failed\b", r"\b(?:down|offline) for maintenance\b", r"\b(?:service|site|page|server) is (?:temporarily|currently) (?:unavailable|down)\b", r"^\W*(?:p>)?under maintenance\b", r"\bzugriff verweigert\b", r"\b(?:ihre )?sitzung ist abgelaufen\b", r"\bseite (?:wurde )?nicht gefunden\b", r"\bseite ist (?:leider )?nicht mehr (?:vorhanden|verfügbar)\b", r"\bwartungsarbeiten\b",
     r"\b(?:dienst|seite) ist (?:derzeit|momentan|vorübergehend) nicht (?:verfügbar|erreichbar)\b", r"\baccès refusé\b", r"\bvotre session a expiré\b", r"\bpage (?:introuvable|non trouvée)\b", r"\bservice est (?:momentanément|temporairement) indisponible\b", r"\bmaintenance en cours\b", r"\bacceso denegado\b", r"\bsesión ha (?:caducado|expirado)\b", r"\bpágina no encontrada\b",
-    r"\bservicio no está disponible\b", r"\ben mantenimiento\b",
+    r"\bservicio no está disponible\b", r"\ben mantenimiento\b", r"\ban (?:unexpected |internal |unknown )?error (?:has )?occurred\b", r"\brate limit (?:exceeded|reached)\b", r"\bunusual traffic\b", r"\b(?:complete|solve|enter) the captcha\b", r"\bray id\b",
+    r"\b(?:sign|log) in to (?:continue|view|read|proceed)\b", r"^\W*(?:p>)?(?:this (?:site|page) is )?under construction\b", r"\bmelden sie sich an,? um\b", r"\bveuillez vous connecter\b", r"\binicia sesión para\b", r"\bpage (?:n'existe (?:pas|plus)|ya no existe)\b", r"\bpágina (?:no|ya no) existe\b",
 )
 
 _SCRIPT = r"(?:java ?scripts?|scripts?|scripting|active (?:scripts?|content|scripting)|js)"
@@ -87,7 +88,7 @@ TRIGGERS = (
     "|i'm unable|generation|lorem|ipsum|magnar|vinculi|sectur|nondo|elitum|dorat|aliqua|tempora|nisor|dolor|consectetur|labore|comodo|velum|fehler|erreur|bad gateway|gateway time|server error|unavailable|unauthorized|not found|could not find|to find|does not exist|no route|gone:|removed|has been moved|was moved"
     "|deleted|requested|connection to|blocked|checking your|human|please wait|just a moment|one moment|few seconds|oops|went wrong|too many requests|slow down|your limit|try again|session|log in again|login required|log in required|must be|need to|have to|forbidden|permission|access denied|database|uncaught"
     "|stack trace|upstream|backend|maintenance|is currently|verweigert|abgelaufen|sitzung|nicht gefunden|nicht mehr|wartungsarbeiten|ist derzeit|ist momentan|ist vorübergehend|refusé|introuvable|non trouvée|indisponible|denegado|sesión|no encontrada|no está|mantenimiento|script| js|turn it on|active content|skripte"
-    "|whoops|sign in to"
+    "|whoops|sign in to|log in to|occurred|rate limit|unusual traffic|captcha|ray id|under construction|melden sie sich|vous connecter|inicia sesión|n'existe|no existe"
 ).split("|") + [f"{n}{mark}" for n in (*range(400, 432), *range(500, 512)) for mark in (" -", " –", " |", ":", " :", "-", "|")]
 
 KINDS = ("field", "filler", "failed", "error", "scripts")

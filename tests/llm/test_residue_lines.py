@@ -40,7 +40,7 @@ CASES = [
     "With {{ product }}, teams plan.", "${price} locks counts.", "With [INSERT CITY], buyers map.", "With [Company Name], buyers map.", "[object Object] archives", "With undefined, staff rate forms.", "XXXXX locks orders", "__HEADLINE__ merges", "With (logo url TBD), we go.",
     "Lorem ipsum dolor sit amet", "Magnar elitum dorat lorem comodo.", "Your headline goes here.", "The final intro (placeholder)", "Sample text - replace before going live.", "(content pending review)", "Votre texte ici. Cliquez pour modifier.", "TODO: write the proof part",
     "As a language model I cannot see the source of this section.", "Error while generating section 'hook': request timed out", "404 - Page not found", "Fehler 404: Seite nicht gefunden", "Access denied. Your request was blocked (ref 7).", "Votre session a expiré.",
-    "Please wait", "Checking your browser before you continue.", "You need to enable scripts to run this app.", "Les scripts sont désactivés, le contenu reste vide.", "Kindly switch on JavaScript to use the app", "<p>502 Bad Gateway</p>", "Uncaught exception in module x at line 3",
+    "An unexpected error occurred.", "Please sign in to continue.", "Cette page n'existe plus.", "Please wait", "Checking your browser before you continue.", "You need to enable scripts to run this app.", "Les scripts sont désactivés, le contenu reste vide.", "Kindly switch on JavaScript to use the app", "<p>502 Bad Gateway</p>", "Uncaught exception in module x at line 3",
 ]
 NO_CASES = [
     "The mail editor accepts merge fields such as {{price}}, and it fills them.", "Template authors write [date] in square brackets; empty fields are listed.", "const msg = `Hello ${price}`;", "{% for row in visits %}{{ row.total }}{% endfor %}",
