@@ -61,7 +61,7 @@ def _texts(blocks):
 
 
 def p7_found(spark, d):
-    """Links between classes of equal texts, and each further member with its class's representative."""
+    """Links between different texts, and each further copy of a text with its representative."""
     links, classes = neardup.near_duplicates(_texts(table(spark, d, "content_blocks")), NEAR)
     members = classes.where("id <> representative").selectExpr("representative AS block_a", "id AS block_b")
     return links.selectExpr("a AS block_a", "b AS block_b").unionByName(members)
@@ -120,9 +120,9 @@ f AS (SELECT DISTINCT block_id, line_no FROM c JOIN n USING (site, key) JOIN s U
 
 #: Brute force over shared word runs: fine for checking, quadratic in the texts of a run.
 _P7 = r"""
-WITH w AS (SELECT DISTINCT block_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM content_blocks WHERE text IS NOT NULL),
-  s AS (SELECT block_id, list_sort(list_distinct(list_transform(range(len(w) - 2), lambda i: w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]))) AS runs FROM w WHERE len(w) >= 40),
-  k AS (SELECT block_id, runs, min(block_id) OVER (PARTITION BY runs) AS rep FROM s),
+WITH w AS (SELECT DISTINCT block_id, text, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM content_blocks WHERE text IS NOT NULL),
+  s AS (SELECT block_id, text, list_sort(list_distinct(list_transform(range(len(w) - 2), lambda i: w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]))) AS runs FROM w WHERE len(w) >= 40),
+  k AS (SELECT block_id, runs, min(block_id) OVER (PARTITION BY text) AS rep FROM s),
   g AS (SELECT rep AS id, unnest(runs) AS run, len(runs) AS n FROM k WHERE block_id = rep),
   p AS (SELECT a.id AS a, b.id AS b, count(*) AS both_n, any_value(a.n) AS na, any_value(b.n) AS nb FROM g a JOIN g b ON a.run = b.run AND a.id < b.id GROUP BY a.id, b.id),
   l AS (SELECT a, b FROM p WHERE both_n >= 0.5 * (na + nb - both_n) - 1e-9)
