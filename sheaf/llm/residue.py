@@ -1,8 +1,8 @@
 """Records that hold template residue, filler, or an error or needs-scripts message.
 
-Every line with evidence is found in one pass over the whole texts: a literal
-automaton picks the texts worth reading closely, patterns then judge their
-sentences. Lines are counted by source with page bitmaps; evidence in a line
+Every line with evidence is found in one pass over the whole texts: an automaton
+of literals derived from the patterns picks the texts worth reading closely,
+patterns then judge their sentences. Lines are counted by source with page bitmaps; evidence in a line
 that is boilerplate of its source (it stands on a large share of the pages) is
 subtracted where the record has other copy, and the records whose residual
 still holds evidence are excluded.
@@ -10,8 +10,10 @@ still holds evidence are excluded.
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 
 from sheaf.functions.keys import host
 from sheaf.llm import lines
+from sheaf.llm.literals import Prefilter
 from sheaf.session import stored
 
 # Marks of unfilled fields.
@@ -80,67 +83,58 @@ NEEDS_SCRIPTS = (
     r"\bscripts sont désactivés\b", rf"\bactiva(?:r|e)? (?:los )?{_SCRIPT}\b", r"\b(?:necesita|requiere) (?:scripts|javascript)\b", rf"\bnécessite (?:les scripts|{_SCRIPT})\b", rf"\bbenötigt (?:skripte|{_SCRIPT})\b",
 )
 
-# Literals of which every text with evidence holds one (lower case, parted by |).
-TRIGGERS = (
-    "{|[[|@@|__|«|$|%|<|&lt;|[a|[b|[c|[d|[e|[f|[g|[h|[i|[j|[k|[l|[m|[n|[o|[p|[q|[r|[s|[t|[u|[v|[w|[x|[y|[z|xxx|undefined|null|nan |nan,|tbd|tbc|tba|todo|fixme|placeholder|dummy|sample text|sample copy|sample para|sample cont|sample head|sample title|sample desc|sample quote|sample intro|sample capt|sample body|test text|test copy|filler|demo |stand-in|goes here|comes in here"
-    "|comes here| here|to follow|to come|text text|replace me|replace before|waiting for|click to edit|describe your|add a short|add a brief|add an short|test test|asdf|qwert|pending review|pending approval|marketing will|blindtext|platzhalter|einfügen"
-    "|hier steht|hier folgt|hier kommt|ersetzen|zum bearbeiten|provisoire|factice|d'exemple| ici|pour modifier|remplacer|compléter|de muestra|provisional|de relleno|de ejemplo|aquí|sustituir|haz clic|language model|large language|could not be|error|i'm sorry|i am |i can't|i cannot"
-    "|i'm unable|generation|lorem|ipsum|magnar|vinculi|sectur|nondo|elitum|dorat|aliqua|tempora|nisor|dolor|consectetur|labore|comodo|velum|fehler|erreur|bad gateway|gateway time|server error|unavailable|unauthorized|not found|could not find|to find|does not exist|no route|gone:|removed|has been moved|was moved"
-    "|deleted|requested|connection to|blocked|checking your|human|please wait|just a moment|one moment|few seconds|oops|went wrong|too many requests|slow down|your limit|try again|session|log in again|login required|log in required|must be|need to|have to|forbidden|permission|access denied|database|uncaught"
-    "|stack trace|upstream|backend|maintenance|is currently|verweigert|abgelaufen|sitzung|nicht gefunden|nicht mehr|wartungsarbeiten|ist derzeit|ist momentan|ist vorübergehend|refusé|introuvable|non trouvée|indisponible|denegado|sesión|no encontrada|no está|mantenimiento|script| js|turn it on|active content|skripte"
-    "|whoops|sign in to|log in to|occurred|rate limit|unusual traffic|captcha|ray id|under construction|melden sie sich|vous connecter|inicia sesión|n'existe|no existe"
-).split("|") + [f"{n}{mark}" for n in (*range(400, 432), *range(500, 512)) for mark in (" -", " –", " |", ":", " :", "-", "|")]
-
 KINDS = ("field", "filler", "failed", "error", "scripts")
 
 
-def _any(patterns: tuple[str, ...], flags: int = re.I) -> re.Pattern:
-    return re.compile("|".join(f"(?:{p})" for p in patterns), flags)
+# The patterns with their kinds and flags; the Judge and its prefilter know them by place.
+PATTERNS = [("field", p, 0) for p in FIELDS] + [(kind, p, re.I) for kind, some in (("filler", STAND_IN), ("failed", FAILED), ("error", ERROR_PAGE), ("scripts", NEEDS_SCRIPTS)) for p in some]
 
 
 class Judge:
     """The patterns, compiled once per worker."""
 
     def __init__(self) -> None:
-        self.field = re.compile("|".join(f"(?:{p})" for p in FIELDS))
+        self.patterns = [(kind, re.compile(p, flags)) for kind, p, flags in PATTERNS]
         self.described = re.compile(DESCRIBED, re.I)
         self.code = re.compile(CODE)
-        self.rest = [("filler", _any(STAND_IN)), ("failed", _any(FAILED)), ("error", _any(ERROR_PAGE)), ("scripts", _any(NEEDS_SCRIPTS))]
         self.words = re.compile(r"[^\W\d_]+")
         self.filler = frozenset(FILLER_WORDS)
         self.sentences = re.compile(r"(?<=[.!?])\s+")
 
-    def kinds(self, line: str) -> list[str]:
-        """Kinds of evidence in a line; empty for none."""
+    def kinds(self, line: str, suspects: Iterable[int] | None = None, words: bool = True) -> list[str]:
+        """Kinds of evidence in a line; empty for none. suspects, words: the patterns that may match, and whether filler words may be there (else all are tried)."""
         if self.code.search(line):
             return []
         found = set()
+        tried = self.patterns if suspects is None else [self.patterns[i] for i in suspects]
         for s in self.sentences.split(line.strip()):
-            if self.field.search(s) and not self.described.search(s):
-                found.add("field")
-            words = self.words.findall(s.lower())
-            if len(words) >= FILLER_LEAST and sum(w in self.filler for w in words) >= FILLER_SHARE * len(words):
-                found.add("filler")
-            found.update(kind for kind, p in self.rest if kind not in found and p.search(s))
+            if words:
+                own = self.words.findall(s.lower())
+                if len(own) >= FILLER_LEAST and sum(w in self.filler for w in own) >= FILLER_SHARE * len(own):
+                    found.add("filler")
+            for kind, p in tried:
+                if kind not in found and p.search(s) and (kind != "field" or not self.described.search(s)):
+                    found.add(kind)
         return [k for k in KINDS if k in found]
 
 
+@cache
+def _prefilter() -> Prefilter:
+    """Once per worker: the texts and lines in which the Judge may find evidence, and more."""
+    return Prefilter([(p, flags) for _, p, flags in PATTERNS], FILLER_WORDS, math.ceil(FILLER_SHARE * FILLER_LEAST))
+
+
 def _evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Lines with evidence: their record, source, page, letters and whether other lines with letters stand in the record."""
-    import ahocorasick
-
-    literals = ahocorasick.Automaton()
-    for t in TRIGGERS:
-        literals.add_word(t, 1)
-    literals.make_automaton()
+    texts = _prefilter()
     judge = Judge()
     for rows in batches:
         out = []
         for i, text in enumerate(rows["text"].str.replace("\xa0", " ", regex=False).to_numpy()):
-            if not text or next(literals.iter(text.lower()), None) is None:
+            if not text or not texts.may(text):
                 continue
             parts = text.split("\n")
-            found = [(p, k) for p in parts if next(literals.iter(p.lower()), None) is not None and (k := judge.kinds(p))]
+            found = [(p, k) for p in parts if any(may := texts.suspects(p)) and (k := judge.kinds(p, *may))]
             if found:
                 full = sum(any(c.isalpha() for c in p) for p in parts)
                 out += [(i, p, k, full <= len(found)) for p, k in found]
