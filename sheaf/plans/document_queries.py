@@ -133,7 +133,7 @@ def html_structure(spark, d):
 
 def section_contexts(spark, d):
     """The prompt variables of each product, from its pitch sections as features."""
-    feature = F.struct(F.coalesce("title", F.lit("")).alias("name"), F.coalesce(F.substring("content", 1, 200), F.lit("")).alias("description"), F.coalesce("key_points", F.array().cast("array<string>")).alias("benefits"))
+    feature = F.struct(F.coalesce("title", F.lit("")).alias("name"), F.coalesce("content", F.lit("")).alias("description"), F.coalesce("key_points", F.array().cast("array<string>")).alias("benefits"))
     benefit = F.struct(F.coalesce("title", F.lit("")).alias("headline"), F.lit("").alias("description"))
     rows = _sections(spark, d).groupBy(F.col("product_id").alias("product")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("section_id", feature.alias("f")))), lambda x: x["f"]).alias("features"), F.transform(F.array_sort(F.collect_list(F.struct("section_id", benefit.alias("b")))), lambda x: x["b"]).alias("benefits")

@@ -232,3 +232,12 @@ def test_videos_selection_relevance_context_variants(spark):
     assert c.target_audience == "general business audience" and c.features_list == "1. n: d\n   Benefits: x, y" and c.benefits_list == "No specific benefits available"
     both = assembly.variants(spark.createDataFrame([(1,)], "pitch_id int"), ["Manager", "Developer"])
     assert both.count() == 2 and assembly.variant(both, "MANAGER").count() == 1
+
+
+def test_section_contexts_hold_whole_contents(spark, tmp_path):
+    from sheaf.plans import document_queries
+
+    long = "long text " * 500 + "end"
+    rows = [("p", 1, "q", "A", long, ["x", "y", "z"]), ("p", 2, "q", None, None, None)]
+    spark.createDataFrame(rows, "product_id string, section_id long, pitch_id string, title string, content string, key_points array<string>").write.parquet(f"{tmp_path}/pitch_sections.parquet")
+    assert document_queries.section_contexts(spark, str(tmp_path)).first().features_list == f"1. A: {long}\n   Benefits: x, y\n2. : "
