@@ -69,9 +69,8 @@ def p7_found(spark, d):
 
 def p7_classes(spark, d):
     """One row per text: its class and the number of links of the class."""
-    links, classes = neardup.near_duplicates(_texts(table(spark, d, "content_blocks")), NEAR)
-    ends = links.select(F.explode(F.array("a", "b")).alias("representative")).groupBy("representative").agg(F.count(F.lit(1)).alias("links"))
-    return classes.join(ends, "representative", "left").select(F.col("id").alias("block_id"), F.col("representative").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    rows = neardup.link_counts(_texts(table(spark, d, "content_blocks")), NEAR)
+    return rows.selectExpr("id AS block_id", "representative AS class_id", "links")
 
 
 def p8_ids(spark, d):
