@@ -1,117 +1,120 @@
 """Main body of crawled pages by differencing pages with near urls.
 
-Pages are sorted by host and url path over the whole cluster (range partitions,
-so a site with a third of all pages is spread), and each is aligned with the
-NEIGHBOURS pages next to it on either side. The alignment is the longest common
-subsequence of their lines; a line that is shared with enough neighbours is
-deleted. What differencing can't show, because it changes from page to page
-(bread crumbs, link lists, boxes that stand on one page), is told by the shape
-of the lines left over and by short lists of usual wordings. A block none of
-whose lines is left is furniture.
+Pages are numbered by host and url path over the whole cluster and cut into
+stretches of STRETCH pages; each stretch also sees the NEIGHBOURS pages before and
+after it, so every page meets the same neighbours whatever the partitions. Pages
+are aligned by the longest common subsequence of their lines; a line that is
+shared with enough neighbours is deleted. Lines of link paths, menus, counted
+links and named rows of items are aligned by their slots, since their words change from
+page to page.
+
+What differencing deletes on several hosts, or what recurs on pages of several
+hosts, is furniture on the pages, too, that have no near page to show it: wordings
+are learned from the pages themselves, there are no lists of words or languages.
+Only hashes of lines are shuffled. A block none of whose lines is left is furniture.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections import deque
+from collections import defaultdict, deque
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.functions.keys import host, url_key
+from sheaf.session import small, stored
 
 #: Pages on either side a page is aligned with, and how many must share a line to delete it.
 NEIGHBOURS = 8
 LEAST_SHARED = 2
-#: Words of a line that still counts as a label (link text, menu item).
-LABEL_WORDS = 8
-#: Longest line that can be a row of usual wordings.
-USUAL_CHARS = 400
-#: Items of a menu, and words of an item in a menu on one line.
-MENU_ITEMS, MENU_WORDS = 4, 4
-
-# Usual wordings of furniture lines, whole lines in lower case without outer marks.
-USUAL = r"""
-  (?:we|this (?:page|site)|by (?:staying|continuing|using)|some of our partners|choose which) .{0,60}(?:cookies?|files?|identifiers|categories).{0,60}
- |your privacy matters.*|(?:we use|uses?) cookies.*|(?:accept|reject|allow|deny)(?: all)?|(?:only )?necessary(?: only)?|nur notwendige|sólo necesarias|solo (?:las )?necesarias|seulement (?:le |les )?nécessaires?|manage choices|save settings|got it
- |wir setzen (?:kleine )?(?:dateien|cookies).*|ihre privatsphäre .*|wählen sie aus, welche kategorien.*|mit dem weiterlesen stimmen.*|(?:alle )?(?:annehmen|ablehnen)|auswahl ändern
- |votre vie privée .*|nous (?:déposons|utilisons) .*(?:fichiers|cookies).*|choisissez les catégories.*|en poursuivant,? vous acceptez.*|tout (?:accepter|refuser)|refuser|régler mes choix
- |tu privacidad .*|(?:guardamos|usamos|utilizamos) .*(?:archivos|cookies).*|elige qué categorías.*|si sigues navegando.*|(?:aceptar|rechazar)(?: todo)?|cambiar ajustes
- |(?:join|subscribe|sign up).{0,60}(?:newsletter|mail|tips|updates?|month).{0,30}|(?:our )?newsletter|never miss an update.*|follow us.{0,60}|unser rundbrief .*|neuigkeiten zum produkt .*|notre lettre .*|recevez nos conseils.*|nuestro boletín .*|recibe consejos.*
- |book a demo.*|try (?:it )?(?:free|now).*|start (?:your )?free trial|talk to (?:sales|us)|questions\?|call [\d ]+ or chat.*|get started|jetzt vorführung buchen|\d+ tage kostenlos testen|kostenlos testen|réservez une démonstration|essai gratuit.*|reserva una demostración|prueba gratis.*
- |(?:search|suche|suchen|rechercher|recherche|buscar)(?: (?:this site|auf dieser seite|sur ce site|en este sitio|in .*))?|skip to (?:content|main).*|back to top|nach oben|zum inhalt.*|aller au contenu.*|haut de page|volver arriba|ir al contenido.*|text size(?: a)*|schriftgröße.*|taille du texte.*|tamaño del texto.*|cart ?\(?\d*\)?|warenkorb.*|panier.*|carrito.*
- |user ?name|password|forgot (?:your )?password\??|log ?in|sign ?in|register|benutzername|passwort(?: vergessen\??)?|kennwort(?: vergessen\??)?|anmelden|nom d'utilisateur|identifiant|mot de passe(?: oublié\s?\??)?|connexion|nombre de usuario|usuario|contraseña|¿?olvidaste tu contraseña\??|entrar
- |(?:en|de|fr|es|it|pt|nl|pl)(?:\s*[|/·,]\s*(?:en|de|fr|es|it|pt|nl|pl))+|page \d+ of \d+.*|tags: .*|(?:seite|página) \d+ (?:von|de) \d+.*|page \d+ sur \d+.*|\d+ (?:comments?|kommentare?|commentaires?|comentarios?)|report|reply|antworten|melden|répondre|signaler|responder|denunciar|(?:share|print)(?: this .{0,40})?|tell a colleague.*
- |(?:©|\(c\)|copyright).{0,80}|(?:.{0,40}\W)?all rights reserved|.{0,40}alle rechte vorbehalten|.{0,40}tous droits réservés|.{0,40}todos los derechos reservados|.{1,60} (?:gmbh|ag|inc|ltd|llc|sarl|s\.?l|s\.?a)\.?, .{1,40} \d+, \d{4,5} \S+
- |imprint|impressum|accessibility|site ?map|cookie list|privacy(?: notice| policy)?|terms(?: of use)?|report abuse|security|do not sell my data|übersicht|nutzungsbedingungen|datenschutz|barrierefreiheit|mentions légales|plan du site|conditions d'usage|accessibilité|confidentialité|aviso legal|mapa del sitio|privacidad|condiciones de uso|accesibilidad
- |home|products?|solutions|pricing|customers|docs|blog|company|careers|contact|support|status|partners|startseite|produkt|lösungen|preise|kunden|unternehmen|stellen|kontakt|hilfe|aktuelles|accueil|produit|tarifs|clients|société|emplois|aide|actualités|inicio|producto|soluciones|precios|clientes|empresa|empleo|contacto|ayuda|noticias
-"""
-# Headings of link boxes.
-LINK_BOX = r"(?:you may also like|related (?:reading|articles|posts|links)|more from (?:the|our) blog|most read.*|(?:see|read) also|popular .*|latest .*|das könnte sie auch interessieren|weitere beiträge|meistgelesen.*|ähnliche .*|à lire aussi|autres articles|les plus (?:consultés|lus)|también te puede interesar|más artículos|lo más leído)"
+#: Pages that are aligned together; at least NEIGHBOURS.
+STRETCH = 512
+#: A wording is learned if it recurs on LEAST_PAGES pages of LEAST_HOSTS hosts, or is deleted on LEAST_HOSTS hosts.
+LEAST_PAGES, LEAST_HOSTS = 3, 2
+#: Words of a label (link text, menu item), items of a link path or menu, and lines of a list of labels.
+LABEL_WORDS, SLOT_ITEMS, LIST_LINES = 8, 3, 4
+
+_NO_LETTER = re.compile(r"[\W\d_]+")
+_SENTENCE = re.compile(r"[.!?:;,]$|[.!?] ")
+_SLOTS = re.compile(r"\s+[›>»/|·–-]+\s+|\s{2,}")
+_PARTS = re.compile(r"\s+[|/·›>»–]\s+|\s{2,}|(?<=[.!?])\s+")
+_CODE = re.compile(r"[{}=|]|\(\)|;\s*$")
+_COUNTED = re.compile(r".*\(\d+\)")
+_NAMED = re.compile(r"([^:,.]{1,30}):\s+[^:,.]+(?:,\s*[^:,.]+)+")
+#: Bits of a line's flags; above them stands the number of its parts.
+LABEL, UNCOUNTED = 1, 2
+#: Different lines a worker remembers.
+KEPT = 200_000
+
+
+def _hash(text: str) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - 2**63
+
+
+def letters(text: str) -> str:
+    return _NO_LETTER.sub("", text.lower())
+
+
+def is_label(line: str) -> bool:
+    """Whether a line is short and no sentence."""
+    return len(line.split()) <= LABEL_WORDS and not _SENTENCE.search(line.strip().rstrip("…"))
 
 
-class Cues:
-    """Judgement of single lines by wording and shape, compiled once per worker."""
+def slots(line: str, alone: bool) -> str | None:
+    """The slots of a link path or menu (a line alone in its block), of a counted link, or of a named row of items; None for other lines."""
+    bare = line.strip()
+    if _COUNTED.fullmatch(bare):
+        return "(0)"
+    if alone and (named := _NAMED.fullmatch(bare)) and is_label(bare):
+        return f"{letters(named[1])}:"
+    items = [i for i in _SLOTS.split(bare) if i] if alone else ()
+    return f"|{len(items)}" if len(items) >= SLOT_ITEMS and all(len(i.split()) <= LABEL_WORDS and not _SENTENCE.search(i) for i in items) else None
+
+
+class Lines:
+    """Keys, parts and flags of lines, remembered for lines that come again."""
 
     def __init__(self) -> None:
-        self.usual = re.compile("|".join(x.strip().lstrip("|") for x in USUAL.strip().split("\n")), re.I)
-        self.box = re.compile(LINK_BOX, re.I)
-        self.parts = re.compile(r"\s+[|/·›>»–]\s+|\s{2,}|(?<=[.!?])\s+")
-        self.menu = re.compile(r"\s+[|/·]\s+|\s{2,}")
-        self.crumb = re.compile(r"\s+[›>»/]\s+")
-        self.counted = re.compile(r".*\(\d+\)$")
-        self.sentence = re.compile(r"[.!?:;,]$|[.!?] ")
-
-    def clean(self, line: str) -> str:
-        return " ".join(line.split()).strip(" »›•*-–").rstrip(".…")
-
-    def usual_line(self, line: str) -> bool:
-        """A usual wording, or a row of them with separators between."""
-        if len(line) > USUAL_CHARS:
-            return False
-        bare = self.clean(line)
-        if not bare or self.usual.fullmatch(bare):
-            return bool(bare)
-        first, *rest = self.parts.split(line.strip(), maxsplit=1)
-        if not rest or not self.usual.fullmatch(self.clean(first)):
-            return False
-        return all(self.usual.fullmatch(self.clean(p)) for p in self.parts.split(rest[0].strip()) if p.strip())
-
-    def label(self, line: str) -> bool:
-        return len(line.split()) <= LABEL_WORDS and not self.sentence.search(line.strip().rstrip("…"))
-
-    def bread_crumb(self, line: str) -> bool:
-        items = self.crumb.split(line.strip())
-        return len(items) >= 3 and all(0 < len(i.split()) <= LABEL_WORDS and not self.sentence.search(i) for i in items)
-
-    def menu_row(self, line: str) -> bool:
-        items = [i for i in self.menu.split(line.strip()) if i]
-        return len(items) >= MENU_ITEMS and all(len(i.split()) <= MENU_WORDS and not self.sentence.search(i) for i in items)
-
-    def furniture(self, text: str, shares: list[int], need: int, heading: bool) -> bool:
-        """Whether nothing of a block is left.
-
-        shares: of each line with letters, how many neighbours share it; need: how
-        many delete a line. Where all lines are labels one neighbour is enough.
-        """
-        lines = [x for x in text.split("\n") if any(c.isalpha() for c in x)]
-        if not lines:
-            return False
-        if heading and len(lines) == 1:  # titles repeat on a site without being furniture
-            return self.usual.fullmatch(self.clean(lines[0])) is not None
-        if len(lines) >= MENU_ITEMS and all(self.label(x) for x in lines):
-            need = 1
-        shared = [n >= need for n in shares]
-        left = [x for x, s in zip(lines, shared) if not s and not self.usual_line(x)]
-        if not left:
-            return True
-        if self.box.fullmatch(self.clean(lines[0])):
-            return all(self.label(x) for x in left)
-        return all(self.counted.match(x.strip()) for x in lines) or "\n" not in text and (self.bread_crumb(text) or self.menu_row(text))
+        self.known: dict[tuple[str, bool], tuple[int, list[int], int]] = {}
+
+    def of(self, line: str, alone: bool) -> tuple[int, list[int], int]:
+        """The line's key for aligning, the keys of its parts (sentences, items) for learning, and its flags."""
+        got = self.known.get((line, alone))
+        if got is None:
+            slot = slots(line, alone)
+            key = _hash(slot or letters(line))
+            parts = [key] if slot else [_hash(x) for p in _PARTS.split(line.strip()) if (x := letters(p))]
+            got = key, parts, (LABEL if is_label(line) else 0) | (UNCOUNTED if _CODE.search(line) and not slot else 0) | len(parts) << 2
+            if len(self.known) > KEPT:
+                self.known.clear()
+            self.known[line, alone] = got
+        return got
+
+
+def lettered(text: str) -> list[str]:
+    """The lines of a text that hold a letter."""
+    return [x for x in text.split("\n") if any(map(str.isalpha, x))]
+
+
+def _encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts as keys, parts and flags of their lines (binary)."""
+    lines = Lines()
+    for rows in batches:
+        keys, parts, flags = [], [], []
+        for text in rows["text"]:
+            own = lettered(text) if text else []
+            got = [lines.of(x, "\n" not in text) for x in own]
+            keys.append(np.array([g[0] for g in got], np.int64).tobytes())
+            parts.append(np.array([p for g in got for p in g[1]], np.int64).tobytes())
+            flags.append(np.array([g[2] for g in got], np.uint32).tobytes())
+        yield rows.drop(columns="text").assign(keys=keys, parts=parts, flags=flags)
 
 
 #: Matching pairs of lines from which bit vectors are used, and bits of them that are held at once.
@@ -198,17 +201,17 @@ def _dense(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 
 class _Page:
-    __slots__ = ("site", "blocks", "keys", "spans", "shared", "mates", "where")
+    __slots__ = ("site", "core", "inside", "blocks", "keys", "spans", "shared", "mates", "where")
 
-    def __init__(self, site: str, blocks: list) -> None:
-        self.site, self.blocks = site, blocks
+    def __init__(self, site: int, core: bool, blocks: list) -> None:
+        self.site, self.core, self.inside = site, core, True
+        seen = {b["block_id"]: b for b in sorted(blocks, key=lambda b: (b["block_order"] is None, b["block_order"] or 0, b["block_id"]))}
+        self.blocks = list(seen.values())
         self.keys: list[int] = []
         self.spans: list[tuple[int, int]] = []
-        drop = re.compile(r"[\W\d_]+")
-        for b in blocks:
+        for b in self.blocks:
             start = len(self.keys)
-            if b["text"]:
-                self.keys += [hash(drop.sub("", x.lower())) for x in b["text"].split("\n") if any(c.isalpha() for c in x)]
+            self.keys += np.frombuffer(b["keys"], np.int64).tolist()
             self.spans.append((start, len(self.keys)))
         self.shared = [0] * len(self.keys)
         self.mates = 0
@@ -222,45 +225,166 @@ class _Page:
             other.shared[theirs] += 1
 
 
-_OUT = "block_id long, page_id long, furniture boolean, body string"
-
-
-def _pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    cues = Cues()
+#: One row per block with its verdict (furniture null: up to the wordings), its deleted lines and the parts of the rest;
+#: and one row per wording of a site in a stretch (block_id null).
+_ALIGNED = "block_id long, page_id long, furniture boolean, gone array<int>, part array<long>, mark array<int>, site long, wording long, pages int, deleted boolean"
+_COLUMNS = [c.split()[0] for c in _ALIGNED.split(", ")]
+#: Bits of mark: the part stands in a line that is left, in a label, in the first line.
+LEFT, IN_LABEL, FIRST = 1, 2, 4
+
+
+def _judged(page_id: int, page: _Page, pages_of: dict, deleted_of: set, out: list) -> None:
+    """The blocks of a page after differencing; the wordings are counted once a page."""
+    need0 = min(LEAST_SHARED, max(1, page.mates))
+    own: set[int] = set()
+    for b, (start, end) in zip(page.blocks, page.spans):
+        shares, flags = page.shared[start:end], np.frombuffer(b["flags"], np.uint32).tolist()
+        if not shares or b["heading"] and len(shares) == 1:  # titles repeat on a site without being furniture
+            out.append((b["block_id"], page_id, False, [], [], []))
+            continue
+        need = 1 if len(shares) >= LIST_LINES and all(f & LABEL for f in flags) else need0
+        parts, at, part, mark = np.frombuffer(b["parts"], np.int64).tolist(), 0, [], []
+        for n, (share, f) in enumerate(zip(shares, flags)):
+            mine, at = parts[at : at + (f >> 2)], at + (f >> 2)
+            if not f & UNCOUNTED:
+                own.update(mine)
+                if share >= need0:
+                    deleted_of.update((page.site, p) for p in mine)
+            left = LEFT if share < need else 0
+            if left or not n:
+                bits = left | (IN_LABEL if f & LABEL else 0) | (0 if n else FIRST)
+                known = mine if mine and not f & UNCOUNTED else [None]
+                part += known
+                mark += [bits] * len(known)
+        left = any(m & LEFT for m in mark)
+        out.append((b["block_id"], page_id, None if left else True, [n for n, s in enumerate(shares) if s >= need0], part if left else [], mark if left else []))
+    for p in own:
+        pages_of[page.site, p] = pages_of.get((page.site, p), 0) + 1
+
+
+def _aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pages sorted by stretch and place, aligned within their sites; only a stretch's own pages come out."""
     window: deque[tuple[int, _Page]] = deque()
+    stretch = site = None
+    pages_of: dict[tuple[int, int], int] = {}
+    deleted_of: set[tuple[int, int]] = set()
+    cut: set[int] = set()
+
+    def close(out: list) -> None:
+        while window:
+            finish(*window.popleft(), out)
 
     def finish(page_id: int, page: _Page, out: list) -> None:
-        need = min(LEAST_SHARED, max(1, page.mates))
-        for b, (start, end) in zip(page.blocks, page.spans):
-            gone = [n >= need for n in page.shared[start:end]]
-            if not b["text"]:
-                out.append((b["block_id"], page_id, False, b["text"]))
-                continue
-            furniture = cues.furniture(b["text"], page.shared[start:end], need, bool(b["heading"]))
-            body = b["text"]
-            if not b["heading"] and any(gone):
-                it = iter(gone)
-                body = "\n".join(x for x in body.split("\n") if not (any(c.isalpha() for c in x) and next(it)))
-            out.append((b["block_id"], page_id, furniture, None if furniture else body))
+        if page.core:
+            _judged(page_id, page, pages_of, deleted_of, out)
+        else:
+            cut.add(page.site)
+
+    def wordings() -> list:
+        """Counts of the stretch; those of a site that lies in it as a whole only if they are enough."""
+        rows = [
+            (s, p, n, (s, p) in deleted_of) for (s, p), n in pages_of.items() if s in cut or n >= LEAST_PAGES or (s, p) in deleted_of
+        ]
+        pages_of.clear()
+        deleted_of.clear()
+        cut.clear()
+        return rows
+
+    def frame(out: list, rows: list) -> pd.DataFrame:
+        return pd.DataFrame([(*o, None, None, None, None) for o in out] + [(None, None, None, None, None, None, *r) for r in rows], columns=_COLUMNS, dtype=object)
 
     for batch in batches:
         out: list = []
-        for site, page_id, blocks in zip(batch["site"], batch["page_id"], batch["blocks"]):
-            seen = {b["block_id"]: b for b in sorted(blocks, key=lambda b: (b["block_order"] is None, b["block_order"] or 0, b["block_id"]))}
-            page = _Page(site, list(seen.values()))
-            if window and window[-1][1].site != site:
-                while window:
-                    finish(*window.popleft(), out)
+        rows: list = []
+        for k, s, page_id, core, blocks in zip(batch["stretch"], batch["site"], batch["page_id"], batch["core"], batch["blocks"]):
+            if k != stretch or s != site:
+                close(out)
+                if k != stretch:
+                    rows += wordings()
+                stretch, site = k, s
+            page = _Page(s, core, blocks)
             for _, other in window:
-                page.align(other)
+                if page.core or other.core:
+                    page.align(other)
             window.append((page_id, page))
             if len(window) > NEIGHBOURS:
                 finish(*window.popleft(), out)
-        yield pd.DataFrame(out, columns=["block_id", "page_id", "furniture", "body"])
+        yield frame(out, rows)
     out = []
-    while window:
-        finish(*window.popleft(), out)
-    yield pd.DataFrame(out, columns=["block_id", "page_id", "furniture", "body"])
+    close(out)
+    yield frame(out, wordings())
+
+
+def _pages(blocks: DataFrame) -> DataFrame:
+    """Pages with their encoded blocks: site, path, page_id, _loose, blocks."""
+    heading = F.coalesce(F.col("content_type") == "heading", F.lit(False)) | F.coalesce(F.col("source_selector").rlike("^h[1-6]$"), F.lit(False))
+    home = host(F.col("url"))
+    path = F.regexp_replace(url_key(F.col("url")), r"^[a-z+.-]*://[^/?]*|\?.*$", "")
+    loose = F.when(F.col("page_id").isNull(), F.coalesce(url_key(F.col("url")), F.col("block_id").cast("string")))
+    rows = blocks.select("block_id", "page_id", loose.alias("_loose"), "extraction_id", home.alias("host"), path.alias("path"), "block_order", heading.alias("heading"), "text")
+    kinds = "block_id long, page_id long, _loose string, extraction_id string, host string, path string, block_order int, heading boolean, keys binary, parts binary, flags binary"
+    encoded = rows.withColumn("block_id", F.col("block_id").cast("long")).withColumn("page_id", F.col("page_id").cast("long")).withColumn("block_order", F.col("block_order").cast("int")).mapInPandas(_encoded, kinds)
+    key = F.when(F.col("path").isNotNull(), F.struct("host", "path"))
+    pages = encoded.groupBy("page_id", "_loose").agg(
+        F.min(key).alias("key"), F.min("extraction_id").alias("extraction_id"), F.collect_list(F.struct("block_id", "block_order", "heading", "keys", "parts", "flags")).alias("blocks")
+    )
+    sites = blocks.where("url IS NOT NULL").groupBy("extraction_id").agg(F.min(home).alias("_host"))
+    homeless = pages.where("key IS NULL").join(sites, "extraction_id", "left")
+    housed = pages.where("key IS NOT NULL").withColumn("_host", F.lit(None).cast("string"))
+    return housed.unionByName(homeless).select(
+        F.xxhash64(F.coalesce("key.host", "_host", "extraction_id", F.lit(""))).alias("site"), F.coalesce("key.path", F.lit("")).alias("path"), "page_id", "_loose", "blocks"
+    )
+
+
+def _stretches(pages: DataFrame) -> DataFrame:
+    """Pages by stretch of the order of site and path: stretch, place, core, site, page_id, blocks; neighbours across a stretch's ends come with core false."""
+    order = ["site", "path", "page_id", "_loose"]
+    ranged = pages.repartitionByRange(*order).sortWithinPartitions(*order).select(F.monotonically_increasing_id().alias("_n"), "site", "page_id", "blocks")
+    ranged = stored(ranged, "pages")
+    part = F.shiftright("_n", 33)
+    sizes = ranged.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()  # one row per partition
+    before, total = {}, 0
+    for r in sizes:
+        before[r.p], total = total, total + r.n
+    starts = F.create_map(*[F.lit(x) for pair in before.items() for x in pair]) if before else F.create_map(F.lit(0).cast("long"), F.lit(0))
+    place = (F.element_at(starts, part) + F.col("_n").bitwiseAND((1 << 33) - 1)).cast("long")
+    near = F.array_distinct(F.array(*[F.floor((F.col("place") + d) / STRETCH) for d in (-NEIGHBOURS, 0, NEIGHBOURS)]))
+    rows = ranged.withColumn("place", place).select("*", F.explode(near).alias("stretch")).where("stretch >= 0")
+    return rows.select("stretch", "place", (F.floor(F.col("place") / STRETCH) == F.col("stretch")).alias("core"), "site", "page_id", "blocks")
+
+
+def judged_blocks(blocks: DataFrame) -> DataFrame:
+    """Every block once: block_id, page_id, furniture, gone (numbers of its lettered lines that differencing deletes)."""
+    rows = _stretches(_pages(blocks)).repartition("stretch").sortWithinPartitions("stretch", "place")
+    aligned = stored(rows.select("stretch", "site", "page_id", "core", "blocks").mapInPandas(_aligned, _ALIGNED), "aligned")
+    by_site = aligned.where("block_id IS NULL").groupBy("wording", "site").agg(F.sum("pages").alias("pages"), F.max("deleted").alias("deleted"))
+    counts = by_site.groupBy("wording").agg(F.count_if(F.col("pages") >= LEAST_PAGES).alias("n"), F.count_if("deleted").alias("d"))
+    learned = stored(counts.where((F.col("n") >= LEAST_HOSTS) | (F.col("d") >= LEAST_HOSTS)).select("wording", (F.col("d") >= LEAST_HOSTS).alias("box")), "wordings")
+    done = aligned.where("block_id IS NOT NULL")
+    open_parts = done.where("furniture IS NULL").select("block_id", F.explode(F.arrays_zip("part", "mark")).alias("x")).select("block_id", F.col("x.part").alias("wording"), F.col("x.mark").alias("mark"))
+    known = open_parts.join(small(learned), "wording", "left")
+    bit = lambda b: F.col("mark").bitwiseAND(b) != 0
+    strange = F.col("box").isNull() & bit(LEFT)
+    verdict = known.groupBy("block_id").agg(
+        F.count_if(strange).alias("strange"), F.count_if(strange & ~bit(IN_LABEL)).alias("prose"), F.count_if(bit(FIRST) & ~F.coalesce("box", F.lit(False))).alias("odd"), F.count_if(~bit(FIRST)).alias("more")
+    )
+    learned_too = verdict.where("strange = 0 OR (prose = 0 AND odd = 0 AND more > 0)").select("block_id")
+    late = done.where("furniture IS NULL").select("block_id", "page_id", "gone").join(learned_too.withColumn("_f", F.lit(True)), "block_id", "left")
+    return done.where("furniture IS NOT NULL").select("block_id", "page_id", "furniture", "gone").unionByName(late.select("block_id", "page_id", F.coalesce("_f", F.lit(False)).alias("furniture"), "gone"))
+
+
+def _kept_lines(text: Column, gone: Column) -> Column:
+    """A text without the lettered lines of the given numbers."""
+    lines = F.split(text, "\n", -1)
+    numbered = F.aggregate(
+        lines,
+        F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("kept")),
+        lambda acc, x: F.struct(
+            (acc["n"] + F.regexp_like(x, F.lit(r"\p{L}")).cast("int")).alias("n"),
+            F.when(F.regexp_like(x, F.lit(r"\p{L}")) & F.array_contains(gone, acc["n"]), acc["kept"]).otherwise(F.concat(acc["kept"], F.array(x))).alias("kept"),
+        ),
+    )
+    return F.array_join(numbered["kept"], "\n")
 
 
 def page_bodies(blocks: DataFrame) -> DataFrame:
@@ -272,19 +396,8 @@ def page_bodies(blocks: DataFrame) -> DataFrame:
     page per url, without url each its own. Null and empty texts are no furniture and stay. Blocks
     sent twice count once; an empty table gives no rows.
     """
-    heading = F.coalesce(F.col("content_type") == "heading", F.lit(False)) | F.coalesce(F.col("source_selector").rlike("^h[1-6]$"), F.lit(False))
-    block = F.struct("block_id", "block_order", "text", heading.alias("heading"))
-    key = F.when(F.col("url").isNotNull(), F.struct(host(F.col("url")).alias("host"), F.regexp_replace(url_key(F.col("url")), r"^[a-z+.-]*://[^/?]*|\?.*$", "").alias("path")))
-    pages = blocks.select("page_id", "extraction_id", "url", key.alias("key"), block.alias("block"))
-    loose = F.when(F.col("page_id").isNull(), F.coalesce(url_key(F.col("url")), F.col("block.block_id").cast("string")))
-    pages = pages.groupBy("page_id", loose.alias("_loose")).agg(
-        F.min("key").alias("key"), F.min("extraction_id").alias("extraction_id"), F.collect_list("block").alias("blocks")
-    )
-    sites = blocks.where("url IS NOT NULL").groupBy("extraction_id").agg(F.min(host(F.col("url"))).alias("_host"))
-    homeless = pages.where("key IS NULL").join(sites, "extraction_id", "left")
-    housed = pages.where("key IS NOT NULL").withColumn("_host", F.lit(None).cast("string"))
-    placed = housed.unionByName(homeless).select(
-        F.coalesce("key.host", "_host", "extraction_id", F.lit("")).alias("site"), F.coalesce("key.path", F.lit("")).alias("path"), "page_id", "blocks"
-    )
-    ranged = placed.repartitionByRange("site", "path", "page_id").sortWithinPartitions("site", "path", "page_id")
-    return ranged.select("site", "page_id", "blocks").mapInPandas(_pages, _OUT)
+    judged = judged_blocks(blocks)
+    texts = blocks.select("block_id", "text", (F.coalesce(F.col("content_type") == "heading", F.lit(False)) | F.coalesce(F.col("source_selector").rlike("^h[1-6]$"), F.lit(False))).alias("_heading"))
+    whole = judged.join(texts.dropDuplicates(["block_id"]), "block_id")
+    body = F.when(F.col("furniture"), None).when((F.size("gone") == 0) | F.col("_heading"), F.col("text")).otherwise(_kept_lines(F.col("text"), F.col("gone")))
+    return whole.select("block_id", "page_id", "furniture", body.alias("body"))

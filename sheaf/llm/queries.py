@@ -35,7 +35,7 @@ def p2_pieces(spark, d):
 
 
 def p3_found(spark, d):
-    bodies = boilerplate.page_bodies(table(spark, d, "content_blocks"))
+    bodies = boilerplate.judged_blocks(table(spark, d, "content_blocks"))
     cases = residue.residue_records(residue.block_records(table(spark, d, "content_blocks")))
     return bodies.where("furniture").select("block_id").join(cases.selectExpr("item_id AS block_id"), "block_id", "left_anti")
 

@@ -58,8 +58,26 @@ def test_nulls_repeats_and_empty(spark):
     assert B.page_bodies(df.limit(0)).count() == 0
 
 
-def test_wordings_and_shapes():
-    c = B.Cues()
-    assert c.usual_line("Accept all / Reject") and c.usual_line("Your privacy matters to us. We use cookies to keep this site working.") and not c.usual_line("Newsletter campaigns: the meter tracks subscriber leads.")
-    assert c.bread_crumb("Home › Docs › Quiet meter") and not c.bread_crumb("We plan. › Then › go")
-    assert not c.furniture("A real sentence about menus and cookies, written by hand.", [0], 2, False)
+def test_slots_and_labels():
+    assert B.slots("Home › Docs › Quiet meter", True) == B.slots("Start / Wares / Loud meter", True) and B.slots("We plan. › Then › go", True) is None
+    assert B.slots("Home › Docs › Quiet meter", False) is None and B.slots("A name: A title (12)", False) == "(0)"
+    assert B.is_label("Our people") and not B.is_label("We sell it.")
+
+
+def test_same_result_whatever_the_partitions(spark, monkeypatch):
+    pages = [(f"https://h{i % 3}.test/docs/p{i:02}", [f"Line {'abcd'[i // 3 % 4]} of the shelf", f"H:Title {i}", f"Own text of page {'abcdefghijklmnopqrstuvwxyz'[i % 26]} {'xyz'[i // 26]} here.", "Subscribe to our letter."]) for i in range(60)]
+    monkeypatch.setattr(B, "STRETCH", 17)
+    found = []
+    for parts, stretch in ((1, 17), (16, 17), (5, 1000)):
+        B.STRETCH = stretch
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        found.append({(r.block_id, r.furniture, r.body) for r in B.page_bodies(frame(spark, pages)).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert found[0] == found[1] == found[2] and sum(f for _, f, _ in found[0]) >= 60
+
+
+def test_wordings_are_learned_from_other_hosts(spark):
+    pages = [(f"https://h{h}.test/p{i}", [f"Own words of host {'abc'[h]} page {'uvwxyz'[i]}.", "Get our letter every month."]) for h in range(2) for i in range(6)]
+    pages.append(("https://lonely.test/p", ["Get our letter every month.", "Its own words."]))
+    rows = {r.block_id: r.furniture for r in B.page_bodies(frame(spark, pages)).collect()}
+    assert rows[24] and not rows[25]
