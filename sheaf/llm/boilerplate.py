@@ -25,6 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest as _xxh64
 
 from sheaf.functions.keys import host, url_key
 from sheaf.session import small, stored
@@ -39,7 +40,8 @@ LEAST_PAGES, LEAST_HOSTS = 3, 2
 #: Words of a label (link text, menu item), items of a link path or menu, and lines of a list of labels.
 LABEL_WORDS, SLOT_ITEMS, LIST_LINES = 8, 3, 4
 
-_NO_LETTER = re.compile(r"[\W\d_]+")
+_WORDS = re.compile(r"[^\W\d_]+")
+_LETTER = re.compile(r"[^\W\d_]")
 _SENTENCE = re.compile(r"[.!?:;,]$|[.!?] ")
 _SLOTS = re.compile(r"\s+[›>»/|·–-]+\s+|\s{2,}")
 _PARTS = re.compile(r"\s+[|/·›>»–]\s+|\s{2,}|(?<=[.!?])\s+")
@@ -53,18 +55,16 @@ KEPT = 200_000
 
 
 def _hash(text: str) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - 2**63
+    return _xxh64(text.encode("utf-8", "replace")) - 2**63
 
 
 def letters(text: str) -> str:
-    return _NO_LETTER.sub("", text.lower())
+    return "".join(_WORDS.findall(text.lower()))
 
 
 def is_label(line: str) -> bool:
     """Whether a line is short and no sentence."""
-    return len(line.split()) <= LABEL_WORDS and not _SENTENCE.search(line.strip().rstrip("…"))
+    return len(line.split(None, LABEL_WORDS)) <= LABEL_WORDS and not _SENTENCE.search(line.strip().rstrip("…"))
 
 
 def slots(line: str, alone: bool) -> str | None:
@@ -88,9 +88,10 @@ class Lines:
         """The line's key for aligning, the keys of its parts (sentences, items) for learning, and its flags."""
         got = self.known.get((line, alone))
         if got is None:
-            slot = slots(line, alone)
-            key = _hash(slot or letters(line))
-            parts = [key] if slot else [_hash(x) for p in _PARTS.split(line.strip()) if (x := letters(p))]
+            slot = slots(line, alone) if alone or line.rstrip().endswith(")") else None
+            own = [x for p in _PARTS.split(line) if (x := letters(p))] if slot is None else [slot]
+            key = _hash("".join(own))
+            parts = [key] if len(own) == 1 else [_hash(x) for x in own]
             got = key, parts, (LABEL if is_label(line) else 0) | (UNCOUNTED if _CODE.search(line) and not slot else 0) | len(parts) << 2
             if len(self.known) > KEPT:
                 self.known.clear()
@@ -100,7 +101,7 @@ class Lines:
 
 def lettered(text: str) -> list[str]:
     """The lines of a text that hold a letter."""
-    return [x for x in text.split("\n") if any(map(str.isalpha, x))]
+    return [x for x in text.split("\n") if _LETTER.search(x)]
 
 
 def _encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
