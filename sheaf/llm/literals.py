@@ -106,7 +106,7 @@ def unusual() -> list[str]:
 
 
 class Prefilter:
-    """Tells which patterns may match in a text, and whether `least` of the words (lower case letters) may stand in it as whole words."""
+    """Tells which patterns may match in a text, and whether `least` of the words (lower case letters) may stand in it as words, with endings of up to two letters."""
 
     def __init__(self, patterns: list[tuple[str, int]], words: list[str], least: int) -> None:
         import ahocorasick
@@ -143,4 +143,5 @@ class Prefilter:
 
     @staticmethod
     def _whole(low: str, end: int, n: int) -> bool:
-        return (end < n or not low[end - n].isalpha()) and not low[end + 1 : end + 2].isalpha()
+        """Whether a word starts there and goes on for at most two letters."""
+        return (end < n or not low[end - n].isalpha()) and not (len(rest := low[end + 1 : end + 4]) == 3 and rest.isalpha())

@@ -10,7 +10,6 @@ still holds evidence are excluded.
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterable, Iterator
 from functools import cache
@@ -26,24 +25,27 @@ from sheaf.session import stored
 
 # Marks of unfilled fields.
 FIELDS = (
-    r"\{\{\s*[\w .\-]{1,60}\s*\}\}", r"[$#]\{\s*[\w .\-]{1,60}\s*\}", r"\{%\s*\w[\w .]{0,60}%\}", r"<%=?\s*[\w .\-]{1,60}%>",
-    r"\[\[\s*[\w .\-]{1,60}\s*\]\]", r"@@\s*\w{1,60}\s*@@", r"(?<![\w%])%[A-Za-z]\w{1,60}%(?![\w%])", r"(?<!\w)__[A-Za-z]\w{0,58}[A-Za-z0-9]__(?!\w)",
-    r"«[A-Z][A-Z_ ]{1,60}»", r"(?<![\w$])\$[A-Z][A-Z_]{1,60}\$", r"(?<![\w{$#])\{[A-Za-z][\w ]{0,60}\}(?!\})", r"\[(?i:insert|add|enter|your)\b[^\]\n]{0,60}\]",
-    r"(?<!\w)\[[A-Z][a-z]+(?: [A-Z][a-z]+){0,3}\](?!\()", r"<[a-z][a-z_ ]{0,60} here>", r"<(?:missing|insert|add|your) [a-z_ ]{1,60}>", r"&lt;\s*[\w ]{1,60}\s*&gt;",
-    r"\([\w ]{1,60} (?:TBD|TBC|TODO|TBA)\)", r"(?<!\w)X{3,}(?!\w)", r"\[object Object\]", r"(?:^|[.!?:;]\s+|\b[Ww]ith )(?:[Uu]ndefined|NaN|[Nn]ull)(?=[ ,]\w*|[ ,.])(?! (?:behaviou?r|values?|pointers?|and void)\b)",
+    r"\{\{[^{}\n]*\w[^{}\n]*\}\}", r"[$#]\{[^{}\n]*\w[^{}\n]*\}", r"\{%\s*\w[\w .]*%\}", r"<%=?\s*[\w .\-]+%>",
+    r"\[\[\s*[\w .\-]+\s*\]\]", r"@@\s*\w+\s*@@", r"(?<![\w%])%[A-Za-z]\w+%(?![\w%])", r"(?<!\w)__[A-Za-z]\w*[A-Za-z0-9]__(?!\w)",
+    r"«[A-Z][A-Z_ ]+»", r"(?<![\w$])\$[A-Z][A-Z_]+\$", r"(?<![\w{$#])\{[A-Za-z][\w ]*\}(?!\})", r"\[(?i:insert|add|enter|your)\b[^\]\n]*\]",
+    r"(?<!\w)\[[A-Z][a-z]+(?: [A-Z][a-z]+){0,3}\](?!\()", r"<[a-z][a-z_ ]* here>", r"<(?:missing|insert|add|your) [a-z_ ]+>", r"&lt;\s*[\w ]+\s*&gt;",
+    r"\([\w ]+ (?:TBD|TBC|TODO|TBA)\)", r"(?<!\w)X{3,}(?!\w)", r"\[object Object\]", r"(?:^|[.!?:;]\s+|\b[Ww]ith )(?:[Uu]ndefined|NaN|[Nn]ull)(?=[ ,]\w*|[ ,.])(?! (?:behaviou?r|values?|pointers?|and void)\b)",
 )
 # Words by which a sentence describes fields instead of holding one.
 DESCRIBED = r"\b(?:merge fields?|fields? such as|every field|template authors?|square brackets|curly|placeholders? (?:such|like|are)|felder wie|platzhalter wie|champs? comme|campos? como|syntax)\b"
 # Marks of code samples.
 CODE = r"`|=>|^\s*(?:const|let|var|import|from|def|return|curl|function|SELECT)\b|[;{]\s*$|^\s*(?:if|for|while)\s*\(|\{%\s*(?:for|if|end\w+|block|include|set)\b"
 
-# Words of filler text.
-FILLER_WORDS = """lorem ipsum dolor sit amet amit consectetur adipiscing elit elitum sed sedum eiusmod tempor tempora incididunt labore dolore dorat magna
-magnar aliqua enim enimo minim veniam vinculi quis quist nostrud exercitation ullamco ulla laboris nisi nisor aliquip commodo comodo consequat duis
-aute irure reprehenderit voluptate velit velum esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat non nondo proident sunt culpa
-officia deserunt mollit anim est laborum utem sectur""".split()
-# Share and number of such words that make a sentence filler.
-FILLER_SHARE, FILLER_LEAST = 0.6, 4
+# Words of the usual filler text and of its generators.
+FILLER_WORDS = """lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud
+exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint
+occaecat cupidatat non proident sunt culpa officia deserunt mollit anim est laborum pellentesque habitant morbi tristique senectus netus malesuada fames
+turpis egestas vestibulum tortor quam feugiat vitae ultricies eget ante donec libero semper aenean mauris placerat eleifend leo quisque sapien
+autem condimentum ornare porta nullam varius vivamus sagittis lacus vel augue laoreet rutrum faucibus auctor cras mattis purus fermentum maecenas diam blandit
+fusce dapibus tellus cursus justo odio integer posuere erat venenatis curabitur praesent nibh euismod suspendisse potenti nunc lectus phasellus viverra
+ligula tincidunt etiam porttitor hendrerit neque convallis pulvinar vulputate sollicitudin felis risus massa imperdiet interdum ullamcorper""".split()
+# Share of such words (misspelled ones too), words of a sentence, and undoubted ones that make it filler.
+FILLER_SHARE, FILLER_LEAST, FILLER_SURE = 0.5, 4, 3
 
 _PART = r"(?:headline|teaser|claim|intro(?:duction)?|captions?|body(?: text| copy)?|quote|text|copy|content|title|sub-?title|paragraph|description|summary|slogan|bullet|section)"
 # Stand-in text and editing notes.
@@ -51,20 +53,20 @@ STAND_IN = (
     r"\blorem ipsum\b", rf"^\W*(?:this is (?:an?|some) )?(?:dummy|sample|placeholder|test|filler|demo|stand-in) {_PART}\b(?!s? (?:in|of|that|which|stays?|is kept))",
     rf"\b{_PART} (?:goes here|comes in here|comes here|to follow|to come|text text\b|- ?replace me|\(?placeholder\)?(?:\W|$)|\(waiting for\b)", r"\breplace (?:me|before (?:going live|publishing|launch))\b", r"\bclick to edit\b", rf"\b(?:add|enter|type|insert|put|write) your {_PART} here\b", rf"^\W*(?:your|main|short|second|first|final) {_PART}(?: goes)? here\b",
     r"\bdescribe your \w+ in \w+ (?:sentences?|words)\b", r"^\W*add an? (?:short|brief) description\b", r"\btext text text\b", r"\btest test test\b", r"\basdf\b", r"\bqwertz?\b", r"\b(?:content|copy|text) pending (?:review|approval)\b",
-    r"^\W*(?:todo|tbd|tbc|fixme)\b\s*[:\-]", r"\bmarketing will (?:send|supply|provide)\b", r"\bblindtext\b", r"\bplatzhalter(?:text)?\b(?! wie)", r"\b(?:überschrift|text|titel|beschreibung) (?:hier )?einfügen\b", r"\bhier (?:steht|folgt|kommt) (?:später|noch|bald)? ?\w* ?\w*text\b",
+    r"^\W*(?:todo|tbd|tbc|fixme)\b\s*[:\-]", r"\b(?:marketing|design|legal|sales|editors?|copywriters?|(?:the )?client) (?:will|must|has to|have to) (?:send|supply|provide|deliver|write|fill)\b", r"\bblindtext\b", r"\bplatzhalter(?:text)?\b(?! wie)", r"\b(?:überschrift|text|titel|beschreibung) (?:hier )?einfügen\b", r"\bhier (?:steht|folgt|kommt) (?:später|noch|bald)? ?\w* ?\w*text\b",
     r"\bvor dem (?:start|livegang) ersetzen\b", r"\bzum bearbeiten klicken\b", r"\btexte (?:provisoire|factice|d'exemple)\b", r"\bvotre (?:texte|titre|contenu) ici\b", r"\bcliquez pour modifier\b", r"\bà (?:remplacer|compléter) avant\b", r"\btexto (?:de muestra|provisional|de relleno|de ejemplo)\b",
     r"\b(?:aquí va|tu) (?:el |la )?(?:texto|título|contenido)\b(?: aquí| de la sección| del?)", r"\bsustituir antes de publicar\b", r"\bhaz clic para editar\b",
 )
 
 # Messages of a failed generation.
 FAILED = (
-    r"\bas an? (?:ai|large|language)\b.{0,30}\bmodel\b,? i\b", r"\b(?:content|section|text|summary|answer) could not be (?:generated|created|loaded)\b", r"\berror while generating\b", r"\bi(?:'m| am) (?:sorry|unable),? (?:but )?i? ?(?:can(?:no|')t|to (?:generate|help|write))\b",
+    r"\bas an? (?:ai|large|language)\b.*?\bmodel\b,? i\b", r"\b(?:content|section|text|summary|answer) could not be (?:generated|created|loaded)\b", r"\berror while generating\b", r"\bi(?:'m| am) (?:sorry|unable),? (?:but )?i? ?(?:can(?:no|')t|to (?:generate|help|write))\b",
     r"\bgeneration (?:failed|timed out)\b",
 )
 
 # Error, blocking, login and waiting pages.
 ERROR_PAGE = (
-    r"\b(?:error|fehler|erreur) ?[45]\d\d ?[:\-–]", r"^\W*[45]\d\d\s*[-–|:]\s*\w", r"^\W*(?:<\w+>)?[45]\d\d (?:bad gateway|not found|forbidden|internal server error|service unavailable|gateway time-?out|unauthorized)\b", r"^\W*(?:p>)?(?:internal server error|bad gateway|service unavailable|gateway time-?out|page not found)\b",
+    r"\b(?:error|fehler|erreur) ?[45]\d\d ?[:\-–]", r"^\W*(?:p>)?http(?: error| status)?(?:/\d(?:\.\d)?)? ?[45]\d\d\b", r"\bseite existiert (?:leider )?nicht\b", r"\bfehler ist aufgetreten\b", r"\berreur (?:interne |inattendue )?(?:est survenue|s'est produite)\b", r"\bse ha producido un error\b", r"^\W*[45]\d\d\s*[-–|:]\s*\w", r"^\W*(?:<\w+>)?[45]\d\d (?:bad gateway|not found|forbidden|internal server error|service unavailable|gateway time-?out|unauthorized)\b", r"^\W*(?:p>)?(?:internal server error|bad gateway|service unavailable|gateway time-?out|page not found)\b",
     r"\bpage not found\b(?! screen)", r"\bcould not find the page\b", r"\bcan(?:'t|not) seem to find\b", r"\bdoes not exist on this (?:server|site)\b", r"\bno route matches\b", r"^\W*(?:p>)?gone: /", r"\bwas removed by its owner\b", r"\b(?:page|resource|document) (?:has been|was) (?:moved|removed|deleted)\b", r"\brequested (?:resource|page|url) \w+ \w+",
     r"\bconnection to \S+ (?:was )?(?:refused|reset|timed out)\b", r"\byour (?:request|access|ip)(?: address)? (?:was|has been|is) blocked\b", r"\bchecking your browser\b", r"\bplease (?:confirm|verify) (?:that )?you are (?:a )?human\b", r"\b(?:are|is) you (?:a )?human\b", r"^\W*(?:p>)?(?:please wait|just a moment|one moment)\b\W*(?:this|while|$|<)",
     r"^\W*(?:p>)?this takes a few seconds", r"^\W*(?:p>)?(?:oops|whoops)\b", r"\bsomething went wrong\b", r"^\W*(?:p>)?too many requests\b", r"\bslow down and retry\b", r"\b(?:you have|you've) reached your limit\b", r"\bplease try again in \d+", r"\btry again later\b", r"\byour session (?:has )?(?:expired|timed out)\b", r"\bplease (?:sign|log) in again\b",
@@ -99,8 +101,26 @@ class Judge:
         self.code = re.compile(CODE)
         self.words = re.compile(r"[^\W\d_]+")
         self.filler = frozenset(FILLER_WORDS)
+        self.holes = {(i, w[:i] + w[i + 1 :]) for w in FILLER_WORDS if len(w) >= 4 for i in range(len(w))}
+        self.shorter = {w for _, w in self.holes}
+        self.known: dict[str, bool] = {}
         self.sentences = re.compile(r"(?<=[.!?])\s+")
 
+    def stem(self, word: str) -> bool:
+        """A filler word, also with an ending of one or two letters."""
+        return word in self.filler or word[:-1] in self.filler or word[:-2] in self.filler
+
+    def latin(self, word: str) -> bool:
+        """A filler word with an ending, or with one letter (of four or more) left out, put in or changed."""
+        got = self.known.get(word)
+        if got is None:
+            less = [word[:i] + word[i + 1 :] for i in range(len(word))]
+            near = len(word) >= 4 and (word in self.shorter or any(w in self.filler or (i, w) in self.holes for i, w in enumerate(less)))
+            if len(self.known) > 100_000:
+                self.known.clear()
+            got = self.known[word] = self.stem(word) or near
+        return got
+
     def kinds(self, line: str, suspects: Iterable[int] | None = None, words: bool = True) -> list[str]:
         """Kinds of evidence in a line; empty for none. suspects, words: the patterns that may match, and whether filler words may be there (else all are tried)."""
         if self.code.search(line):
@@ -110,7 +130,7 @@ class Judge:
         for s in self.sentences.split(line.strip()):
             if words:
                 own = self.words.findall(s.lower())
-                if len(own) >= FILLER_LEAST and sum(w in self.filler for w in own) >= FILLER_SHARE * len(own):
+                if len(own) >= FILLER_LEAST and sum(map(self.stem, own)) >= FILLER_SURE and sum(map(self.latin, own)) >= FILLER_SHARE * len(own):
                     found.add("filler")
             for kind, p in tried:
                 if kind not in found and p.search(s) and (kind != "field" or not self.described.search(s)):
@@ -121,7 +141,7 @@ class Judge:
 @cache
 def _prefilter() -> Prefilter:
     """Once per worker: the texts and lines in which the Judge may find evidence, and more."""
-    return Prefilter([(p, flags) for _, p, flags in PATTERNS], FILLER_WORDS, math.ceil(FILLER_SHARE * FILLER_LEAST))
+    return Prefilter([(p, flags) for _, p, flags in PATTERNS], FILLER_WORDS, FILLER_SURE)
 
 
 def _evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -13,6 +13,8 @@ PATTERNS = [(p, flags) for _, p, flags in residue.PATTERNS]
 LINES = [
     "Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat.", "Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum.",
     "Test headline", "Test paragraph", "Sample teaser", "Sample summary", "As an AI model, I do not have access to it.", "Please sign in again.", "The price: NaN.", "Your request is blocked", "Error 451: not here", "525 - handshake", "Non est, sed sit.", "PLEASE ſign in again",
+    "JS is disabled in your browser.", "JS is required.", "This is a test caption", "Sample slogan", "Test slogan", "As an AI assistant model, I decline.", "Pellentesque habitant morbi tristique senectus et netus.", "Lorem dolor nullam quam semper porta",
+    "Dear {{ name | default('you') }}, hello", "Hi {{user_name|upper}}", "Hi ${user.name:-x}", "HTTP 404", "Diese Seite existiert nicht", "Ein Fehler ist aufgetreten", "Une erreur est survenue", "With {{ " + "long_" * 40 + "name }}",
 ]
 
 
