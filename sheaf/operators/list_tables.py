@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.operators.nested import filled, flatten_typed, flatten_variant, json_variant
+from sheaf.session import stored
 
 #: Of each aspect: its list, the list inside each element, and the name of the result's rows.
 LISTS = {"features": ("benefits", "benefit"), "use_cases": ("key_features_used", "key_feature")}
@@ -32,16 +33,21 @@ def answer_list(answer: Column, name: str, inner: str) -> Column:
     )
 
 
-def answer_tables(entries: DataFrame, aspect: str) -> dict[str, DataFrame]:
-    """Child tables of the entries of one aspect, by path; "" is the aspect's own list.
+def parsed_answers(entries: DataFrame) -> DataFrame:
+    """The answers of the aspects in LISTS, parsed once and stored: entry_id, _aspect, _answer."""
+    aspect = F.lower(F.substring_index("key", ":", 1))
+    return stored(entries.where(aspect.isin(list(LISTS))).select("entry_id", aspect.alias("_aspect"), json_variant(F.col("data")).alias("_answer")), "answers")
+
+
+def answer_tables(answers: DataFrame, aspect: str) -> dict[str, DataFrame]:
+    """Child tables of the parsed answers of one aspect, by path; "" is the aspect's own list.
 
     Entries of another aspect, with null, broken or cut off JSON give no rows.
     Rows sent twice give equal rows.
     """
     inner, _ = LISTS[aspect]
-    mine = entries.where(F.lower(F.substring_index("key", ":", 1)) == aspect)
-    answers = mine.select("entry_id", json_variant(F.col("data")).alias("_answer"))
-    return flatten_variant(answers.select("entry_id", answer_list(F.col("_answer"), aspect, inner).alias("_list")), "entry_id", "_list")
+    mine = answers.where(F.col("_aspect") == aspect)
+    return flatten_variant(mine.select("entry_id", answer_list(F.col("_answer"), aspect, inner).alias("_list")), "entry_id", "_list")
 
 
 def table_cells(blocks: DataFrame) -> DataFrame:
@@ -54,8 +60,9 @@ def table_cells(blocks: DataFrame) -> DataFrame:
 def list_elements(blocks: DataFrame, entries: DataFrame) -> DataFrame:
     """All filled elements: item_kind, parent_id, pos_outer, pos_inner; distinct rows."""
     parts = [table_cells(blocks).select(F.lit("table_cell").alias("item_kind"), F.col("block_id").alias("parent_id"), F.col("row").cast("long").alias("pos_outer"), F.col("column").cast("long").alias("pos_inner"))]
+    answers = parsed_answers(entries)
     for aspect, (inner, kind) in LISTS.items():
-        level = answer_tables(entries, aspect).get(inner)
+        level = answer_tables(answers, aspect).get(inner)
         if level is not None:
             at = [F.get("_at", F.lit(i)).cast("long").alias(n) for i, n in enumerate(("pos_outer", "pos_inner"))]
             parts.append(level.where(filled(F.col("value"))).select(F.lit(kind).alias("item_kind"), F.col("entry_id").alias("parent_id"), *at))

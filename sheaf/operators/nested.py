@@ -159,6 +159,16 @@ def parse_schema(text: str) -> object:
     return node()
 
 
+def _field(base: tuple[Column, str], name: str) -> tuple[Column, str]:
+    """The field called name below a base (variant, path in it); names that no path can hold are looked up in a map."""
+    value, path = base
+    quote = next((q for q in "\"'" if q not in name), None)
+    if name and quote and "?" not in name:
+        return value, f"{path}[{quote}{name}{quote}]"
+    here = F.try_variant_get(value, path, "variant")
+    return F.element_at(F.try_variant_get(here, "$", "map<string,variant>"), name), "$"
+
+
 def flatten_variant(df: DataFrame, key: str, column: str) -> dict[str, DataFrame]:
     """Child tables of a variant column, one per array level of its merged schema, by path.
 
@@ -166,6 +176,8 @@ def flatten_variant(df: DataFrame, key: str, column: str) -> dict[str, DataFrame
     (variant). The column itself is the first level "": a lone value counts as a
     list of one, there and wherever a path holds lists in some rows and single
     values in others. JSON null gives no list; null elements keep their position.
+    Paths join the names of the fields by dots, whatever characters they hold; of two
+    paths that read the same the later one gets a mark of its number behind "#".
     """
     tables: dict[str, DataFrame] = {}
     none = F.array().cast("array<int>").alias("_at")
@@ -178,16 +190,20 @@ def flatten_variant(df: DataFrame, key: str, column: str) -> dict[str, DataFrame
         if kind == "VARIANT":  # elements of several kinds: the fields are those of the objects among them
             objects = tables[name].where(F.startswith(F.schema_of_variant("value"), F.lit("OBJECT")))
             kind = parse_schema(merged_schema(objects, "value"))
-        paths = [("$", name, kind)]
+        paths: list[tuple[tuple[Column, str], str, object]] = [((F.col("value"), "$"), name, kind)]
+        top = True
         while paths:
             at, label, k = paths.pop(0)
             if isinstance(k, dict):
-                paths += [(f'{at}["{n}"]', f"{label}.{n}".lstrip("."), c) for n, c in k.items() if not set(n) & set("'\"]")]
-            elif at != "$" and (isinstance(k, list) or k == "VARIANT"):
+                paths += [(_field(at, n), f"{label}.{n}".lstrip(".") if n else f"{label}.", c) for n, c in k.items()]
+            elif not top and (isinstance(k, list) or k == "VARIANT"):
                 below = [F.col(key), F.col("_key").alias("_parent"), F.col("_at")]
-                child = tables[name].select(*below, F.posexplode(as_list(F.try_variant_get("value", at, "variant"))).alias("_pos", "value"))
+                child = tables[name].select(*below, F.posexplode(as_list(F.try_variant_get(at[0], at[1], "variant"))).alias("_pos", "value"))
+                if label in tables:
+                    label = f"{label}#{len(tables)}"
                 tables[label] = _placed(child, key, label)
                 todo.append((label, k[0] if isinstance(k, list) else "VARIANT"))
+            top = False
     return tables
 
 

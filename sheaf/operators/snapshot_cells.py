@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.functions.keys import hash_key, url_key
+from sheaf.session import small
 
 PRESENT = "\u0000present"
 
@@ -29,7 +30,7 @@ def snapshot_order(rows: DataFrame, owner: str, snapshot: str, at: str) -> DataF
 
 def signed_cells(rows: DataFrame, order: DataFrame, owner: str, snapshot: str, key: str, fields: Sequence[str]) -> DataFrame:
     """The cells of both comparisons a row takes part in: owner, from, to, key, field, value, sign."""
-    o = order.select(F.col(owner).alias("_owner"), F.col(snapshot).alias("_snap"), "_before", "_after")
+    o = small(order).select(F.col(owner).alias("_owner"), F.col(snapshot).alias("_snap"), "_before", "_after")
     placed = rows.join(o, rows[owner].eqNullSafe(o["_owner"]) & (rows[snapshot] == o["_snap"]))
     sides = F.array(
         F.struct(F.col("_before").alias("from"), F.col("_snap").alias("to"), F.lit(1).alias("sign")),

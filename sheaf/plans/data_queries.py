@@ -57,11 +57,42 @@ WITH given AS (
 )
 """
 
+def _json(text: str) -> str:
+    """SQL for the JSON value in a text: the whole, else from the first bracket that starts a line (else the first at all) to the last of its kind."""
+    bare = rf"regexp_replace({text}, '^[\s\x{{FEFF}}]+|[\s\x{{FEFF}}]+$', '', 'g')"
+    lined = rf"regexp_extract({bare}, '(?ms)^[ \t]*([\[{{].*)\z', 1)"
+    start = rf"CASE WHEN {lined} <> '' THEN {lined} ELSE regexp_extract({bare}, '(?s)([\[{{].*)\z', 1) END"
+    upto = rf"regexp_extract({start}, CASE WHEN starts_with({start}, '{{') THEN '(?s)\A(.*\}})' ELSE '(?s)\A(.*\])' END, 1)"
+    return f"CASE WHEN json_valid({bare}) THEN CAST({bare} AS JSON) WHEN json_valid({upto}) THEN CAST({upto} AS JSON) END"
+
+
+def _as_list(value: str) -> str:
+    return f"CASE WHEN json_type({value}) = 'ARRAY' THEN from_json({value}, '[\"JSON\"]') WHEN {value} IS NOT NULL AND json_type({value}) <> 'NULL' THEN [{value}] END"
+
+
+_LISTS = rf"""
+WITH t AS (SELECT DISTINCT entry_id, lower(split_part(key, ':', 1)) AS aspect, data FROM cache_entries),
+  a AS (SELECT entry_id, aspect, {_json("data")} AS v FROM t WHERE aspect IN ('features', 'use_cases')),
+  b AS (SELECT entry_id, aspect, CASE WHEN json_type(v) = 'VARCHAR' THEN {_json("json_extract_string(v, '$')")} ELSE v END AS v FROM a),
+  c AS (SELECT entry_id, aspect, v, json_extract(v, '$.' || aspect) AS own, json_extract(v, '$.data') AS data, json_extract(v, '$.data.' || aspect) AS below,
+    CASE aspect WHEN 'features' THEN 'benefits' ELSE 'key_features_used' END AS inner_name FROM b),
+  l AS (SELECT entry_id, aspect, inner_name, CASE WHEN json_type(v) = 'ARRAY' THEN v WHEN own IS NOT NULL THEN own WHEN below IS NOT NULL THEN below
+    WHEN json_type(data) = 'ARRAY' THEN data WHEN json_extract(v, '$.' || inner_name) IS NOT NULL THEN v END AS v FROM c),
+  o AS (SELECT entry_id, aspect, inner_name, unnest({_as_list("v")}) AS v, generate_subscripts({_as_list("v")}, 1) - 1 AS pos_outer FROM l),
+  n AS (SELECT entry_id, aspect, pos_outer, json_extract(v, '$.' || inner_name) AS v FROM o WHERE json_type(v) = 'OBJECT'),
+  i AS (SELECT entry_id, aspect, pos_outer, unnest({_as_list("v")}) AS v, generate_subscripts({_as_list("v")}, 1) - 1 AS pos_inner FROM n),
+  r AS (SELECT block_id, unnest(table_data.rows) AS cells, generate_subscripts(table_data.rows, 1) - 1 AS row FROM content_blocks),
+  x AS (SELECT block_id, row, unnest(cells) AS cell, generate_subscripts(cells, 1) - 1 AS "column" FROM r)
+SELECT DISTINCT 'table_cell' AS item_kind, block_id AS parent_id, CAST(row AS BIGINT) AS pos_outer, CAST("column" AS BIGINT) AS pos_inner FROM x WHERE regexp_matches(cell, '\S')
+UNION ALL SELECT DISTINCT CASE aspect WHEN 'features' THEN 'benefit' ELSE 'key_feature' END, entry_id, CAST(pos_outer AS BIGINT), CAST(pos_inner AS BIGINT)
+FROM i WHERE json_type(v) <> 'NULL' AND (json_type(v) <> 'VARCHAR' OR regexp_matches(json_extract_string(v, '$'), '\S'))"""
+
 _CHANGE = "CASE WHEN NOT there THEN 'added' WHEN NOT here THEN 'removed' ELSE 'changed' END AS change"
 
 QUERIES = {"p4_found": p4_found, "p4_changed_fields": p4_changed_fields, "p5_found": p5_found, "p5_cells": p5_cells}
 
 ORACLE = {
+    "p5_found": _LISTS,
     "p4_found": _PAGES + f"SELECT product_id, from_extraction, to_extraction, url_key, {_CHANGE} FROM both_sides WHERE NOT here OR NOT there OR hash_differs",
     "p4_changed_fields": _PAGES
     + f"""SELECT product_id, from_extraction, to_extraction, url_key, {_CHANGE},

@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Settings a job should start with; cluster sizes belong to the deployment.
 DEFAULTS = {
@@ -52,10 +53,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Rows of a few short columns that are broadcast at most.
-SMALL_ROWS = 1_000_000
+#: Bytes that are broadcast at most.
+SMALL_BYTES = 64 * 2**20
 
 
-def small(rows: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
-    """rows with a broadcast hint if they are few enough (counted by a job), else as they are, for a shuffle join."""
-    return F.broadcast(rows) if rows.count() <= most else rows
+def small(rows: DataFrame, most: int = SMALL_BYTES) -> DataFrame:
+    """rows with a broadcast hint if they are small enough (measured by a job: bytes of texts and lists, 16 for other values), else as they are, for a shuffle join."""
+    def width(c: str, kind: T.DataType):
+        at = F.col(f"`{c}`")
+        if isinstance(kind, T.StringType | T.BinaryType):
+            return F.coalesce(F.octet_length(at), F.lit(0)) + 16
+        if isinstance(kind, T.AtomicType):
+            return F.lit(16)
+        return F.coalesce(F.octet_length(F.to_json(F.struct(at))), F.lit(0)) + 16
+
+    size = sum((width(f.name, f.dataType) for f in rows.schema.fields), F.lit(16))
+    return F.broadcast(rows) if (rows.agg(F.sum(size.cast("long"))).first()[0] or 0) <= most else rows

@@ -59,3 +59,10 @@ def test_schema_notation_and_variant_levels(spark):
     df = spark.createDataFrame([(1, '[{"a": [{"b": [1, 2]}]}, {"a": {"b": 3}}]')], "k long, t string").select("k", F.parse_json("t").alias("v"))
     t = N.flatten_variant(df, "k", "v")
     assert t[""].count() == 2 and t["a"].count() == 2
+
+
+def test_fields_of_any_name_get_tables(spark):
+    text = json.dumps([{"it's": [1, 2], "ok": [3], "a]b": [4], 'say "x"': [5], "it's \"x\"": [6], "wh?t": [7], "a.b": {"c d": [8, 9]}, "": [10]}])
+    df = spark.createDataFrame([(1, text)], "k long, t string").select("k", F.parse_json("t").alias("v"))
+    t = N.flatten_variant(df, "k", "v")
+    assert {n: d.count() for n, d in t.items()} == {"": 1, "it's": 2, "ok": 1, "a]b": 1, 'say "x"': 1, "it's \"x\"": 1, "wh?t": 1, "a.b.c d": 2, ".": 1}
