@@ -33,10 +33,26 @@ LEAST = {"heading": 2, "paragraph": 10, "item": 3, "quote": 10, "code": 5}
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
+    __slots__ = ("tag", "attrs", "children", "parent", "seen", "heading", "previous", "images")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None) -> None:
         self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
+        self.seen, self.heading, self.previous, self.images = False, None, None, []
+
+    def place(self) -> None:
+        """Notes at each child element the last heading and the element before it, and the images among them; once."""
+        if self.seen:
+            return
+        self.seen = True
+        heading = previous = None
+        for c in self.children:
+            if isinstance(c, Node):
+                c.heading, c.previous = heading, previous
+                previous = c
+                if c.tag in HEADINGS:
+                    heading = c.text() or heading
+                elif c.tag == "img":
+                    self.images.append(c)
 
     def walk(self) -> Iterator[Node]:
         todo = [self]
@@ -123,13 +139,28 @@ def content_nodes(root: Node) -> list[Node]:
 
 def _heading_before(n: Node) -> str | None:
     """The nearest heading among the siblings before an element."""
-    last = None
-    for c in n.parent.children if n.parent else []:
-        if c is n:
-            return last
-        if isinstance(c, Node) and c.tag in HEADINGS:
-            last = c.text() or last
-    return last
+    if n.parent is None:
+        return None
+    n.parent.place()
+    return n.heading
+
+
+_DIGITS = re.compile(r"[0-9]{1,9}")
+#: Columns a cell spans at most, as in the HTML standard.
+MOST_COLUMNS = 1000
+
+
+def whole_number(text: str, otherwise: int) -> int:
+    """An attribute's number in plain digits, else the value given."""
+    return int(text) if _DIGITS.fullmatch(text) else otherwise
+
+
+def absolute(base: str, url: str) -> str:
+    """url against base; as it stands where it can't be read."""
+    try:
+        return urljoin(base, url)
+    except ValueError:
+        return url
 
 
 def blocks_of(root: Node, base: str = "") -> list[dict]:
@@ -175,8 +206,7 @@ def table_of(n: Node) -> dict:
         cells, named = [], False
         for c in r.children:
             if isinstance(c, Node) and c.tag in ("td", "th"):
-                span = c.attrs.get("colspan", "1")
-                cells += [c.text(left_out)] * max(1, min(int(span) if span.isdigit() else 1, 1000))
+                cells += [c.text(left_out)] * max(1, min(whole_number(c.attrs.get("colspan", ""), 1), MOST_COLUMNS))
                 named |= c.tag == "th"
         in_head = any(a.tag == "thead" for a in r.above())
         if not heads and not rows and (in_head or named):
@@ -195,13 +225,13 @@ def images_of(root: Node, base: str) -> list[dict]:
         if n.tag == "img":
             source = next((v for a in ("src", "data-src", "data-lazy", "data-lazy-src", "data-original") if (v := n.attrs.get(a, "")) and not v.startswith("data:")), "")
         elif n.tag == "source" and n.parent.tag == "picture" and n.attrs.get("srcset"):
-            source = n.attrs["srcset"].split(",")[-1].split()[0]
+            source = (n.attrs["srcset"].split(",")[-1].split() or [""])[0]
         if source and not source.startswith("data:"):
             figure = next((a for a in n.above() if a.tag == "figure"), None)
             caption = next((c.text() for c in figure.walk() if c.tag == "figcaption"), None) if figure else None
-            size = [int(v) if (v := n.attrs.get(a, "")).isdigit() else 0 for a in ("width", "height")]
+            size = [whole_number(n.attrs.get(a, ""), 0) for a in ("width", "height")]
             names = f"{n.attrs.get('class', '')} {n.parent.attrs.get('class', '')}".strip()
-            out.setdefault(urljoin(base, source), {"alt": n.attrs.get("alt", ""), "classes": names, "width": size[0], "height": size[1], "caption": caption})
+            out.setdefault(absolute(base, source), {"alt": n.attrs.get("alt", ""), "classes": names, "width": size[0], "height": size[1], "caption": caption})
     return [{"url": u} | x for u, x in out.items()]
 
 
@@ -274,7 +304,7 @@ def structure_of(root: Node, base: str) -> dict:
     for kind, selectors in INTERACTIVE.items():
         out[kind] = sum(any(matches(n, s) for s in selectors) for n in nodes)
     inside = lambda n: any(matches(a, s) for a in (n, *n.above()) for s in INTERACTIVE["tabs"])
-    out["tab_links"] = list(dict.fromkeys(urljoin(base, n.attrs["href"]) for n in nodes if n.tag == "a" and n.attrs.get("href", "").startswith("/") and inside(n)))
+    out["tab_links"] = list(dict.fromkeys(absolute(base, n.attrs["href"]) for n in nodes if n.tag == "a" and n.attrs.get("href", "").startswith("/") and inside(n)))
     return out
 
 
@@ -282,28 +312,37 @@ def nearby_images(n: Node, base: str) -> list[str]:
     """Images that belong to an element: inside it, in a figure or card around it, or right before it; embedded data is no image."""
     found = [c for c in n.walk() if c.tag == "img"]
     p = n.parent
-    if p is not None and (p.tag == "figure" or any(w in p.attrs.get("class", "").lower() for w in ("card", "feature", "item"))):
-        found += [c for c in p.children if isinstance(c, Node) and c.tag == "img"]
-    before = [c for c in p.children[: p.children.index(n)] if isinstance(c, Node)] if p is not None else []
-    if before and before[-1].tag in ("img", "figure"):
-        found += [c for c in before[-1].walk() if c.tag == "img"]
+    if p is not None:
+        p.place()
+        if p.tag == "figure" or any(w in p.attrs.get("class", "").lower() for w in ("card", "feature", "item")):
+            found += p.images
+        if n.previous is not None and n.previous.tag in ("img", "figure"):
+            found += [c for c in n.previous.walk() if c.tag == "img"]
     sources = [c.attrs.get("src") or c.attrs.get("data-src", "") for c in found]
-    return list(dict.fromkeys(urljoin(base, s) for s in sources if s and not s.startswith("data:")))
+    return list(dict.fromkeys(absolute(base, s) for s in sources if s and not s.startswith("data:")))
 
 
 def parsed(html: str | None, url: str | None) -> dict:
-    """Everything of a page; null and empty html give an empty page, a parser error too (never a failed task)."""
+    """Everything of a page; null and empty html give an empty page."""
     root = tree(html or "")
     base = url or ""
     tables = [table_of(n) for n in content_nodes(root) if n.tag == "table" and n.attrs.get("role") != "presentation"]
     return {"blocks": blocks_of(root, base), "tables": tables, "images": images_of(root, base), "links": links_of(root, base), "meta": metadata_of(root), "structure": structure_of(root, base)}
 
 
+def parsed_or_error(html: str | None, url: str | None) -> tuple[dict, str | None]:
+    """A page, or an empty one with the error that its html raised; so one page never fails a task."""
+    try:
+        return parsed(html, url), None
+    except Exception as e:  # noqa: BLE001
+        return parsed("", url), f"{type(e).__name__}: {e}"
+
+
 _BLOCK = "struct<kind:string,text:string,level:int,items:array<string>,parent:string,images:array<string>>"
 SCHEMA = (
     f"page_id long, url string, title string, description string, keywords array<string>, canonical string, json_ld int, blocks array<{_BLOCK}>, tables array<struct<caption:string,headers:array<string>,rows:array<array<string>>>>, "
     "images array<struct<url:string,alt:string,classes:string,width:int,height:int,caption:string>>, links array<struct<url:string,text:string,kind:string>>, "
-    "structure struct<navigation:string,main:string,sidebar:string,footer:string,tabs:int,accordions:int,modals:int,cookies:int,tab_links:array<string>>"
+    "structure struct<navigation:string,main:string,sidebar:string,footer:string,tabs:int,accordions:int,modals:int,cookies:int,tab_links:array<string>>, error string"
 )
 
 
@@ -312,14 +351,14 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
         out = []
         for i, url, html in zip(rows["page_id"], rows["url"], rows["html"]):
-            p = parsed(html, url)
+            p, error = parsed_or_error(html, url)
             m = p["meta"]
-            out.append((i, url, m["title"], m["description"], m["keywords"], m["canonical"], m["json_ld"], [full | b for b in p["blocks"]], p["tables"], p["images"], p["links"], p["structure"]))
-        yield pd.DataFrame(out, columns=["page_id", "url", "title", "description", "keywords", "canonical", "json_ld", "blocks", "tables", "images", "links", "structure"])
+            out.append((i, url, m["title"], m["description"], m["keywords"], m["canonical"], m["json_ld"], [full | b for b in p["blocks"]], p["tables"], p["images"], p["links"], p["structure"], error))
+        yield pd.DataFrame(out, columns=["page_id", "url", "title", "description", "keywords", "canonical", "json_ld", "blocks", "tables", "images", "links", "structure", "error"])
 
 
 def pages(raw: DataFrame) -> DataFrame:
-    """Parsed pages of (page_id, html and optionally url)."""
+    """Parsed pages of (page_id, html and optionally url); error tells what a page raised, null for none."""
     url = F.col("url") if "url" in raw.columns else F.lit(None).cast("string")
     return raw.select("page_id", url.alias("url"), "html").mapInPandas(_parse, SCHEMA)
 

@@ -5,48 +5,128 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The marks of variables, conditions and loops.
-_VARIABLE = re.compile(r"\{\{(\w+)\}\}")
-_IF = re.compile(r"\{\{#if\s+(\w+)\}\}(.*?)\{\{/if\}\}", re.S)
-_EACH = re.compile(r"\{\{#each\s+(\w+)\}\}(.*?)\{\{/each\}\}", re.S)
+_MARK = re.compile(r"\{\{(?:(?P<open>#if|#each)\s+(?P<of>\w+)|(?P<close>/if|/each)|(?P<name>\w+)|item\.(?P<field>[^{}]+))\}\}")
+
+
+@dataclass
+class _Mark:
+    """A mark as it stands: a variable (name) or a field of a loop's item (field)."""
+
+    text: str
+    name: str = ""
+    field: str = ""
+
+
+@dataclass
+class _Block:
+    """A condition or a loop over what stands up to its end."""
+
+    kind: str
+    of: str
+    parts: list
 
 
 class MissingVariables(ValueError):
     """Variables a strict template needs and doesn't get."""
 
 
-def _loop(body: str, items: object) -> str:
-    if not isinstance(items, list | tuple):
-        return ""
+def _parsed(template: str) -> list:
+    """The template as plain texts, marks and blocks. A block ends at the next end of its kind; an opening without end, or an end without opening, is plain text."""
+    flat: list = []
+    at = 0
+    for m in _MARK.finditer(template):
+        flat += [template[at : m.start()], m]
+        at = m.end()
+    flat.append(template[at:])
+
+    def read(i: int, stop: int) -> list:
+        out = []
+        while i < stop:
+            x = flat[i]
+            if isinstance(x, str):
+                out.append(x)
+            elif x["open"]:
+                kind = x["open"][1:]
+                end = next((j for j in range(i + 1, stop) if not isinstance(flat[j], str) and flat[j]["close"] == f"/{kind}"), None)
+                out.append(x[0] if end is None else _Block(kind, x["of"], read(i + 1, end)))
+                i = i if end is None else end
+            else:
+                out.append(x[0] if x["close"] else _Mark(x[0], x["name"] or "", x["field"] or ""))
+            i += 1
+        return out
+
+    return read(0, len(flat))
+
+
+def _trimmed(parts: list) -> list:
+    """Parts without white space at either end; marks and loops end the trimming."""
+    out = list(parts)
+    for side, strip in ((0, str.lstrip), (-1, str.rstrip)):
+        while out and isinstance(out[side], str):
+            out[side] = strip(out[side])
+            if out[side]:
+                break
+            out.pop(side)
+    return out
+
+
+def _chosen(parts: list, values: dict) -> list:
+    """Parts with their conditions decided."""
+    out = []
+    for x in parts:
+        if not isinstance(x, _Block):
+            out.append(x)
+        elif x.kind == "each":
+            out.append(_Block("each", x.of, _chosen(x.parts, values)))
+        elif values.get(x.of):
+            out += _trimmed(_chosen(x.parts, values))
+    return out
+
+
+def _filled(mark: _Mark, item: object, number: int) -> str | _Mark:
+    """A mark inside of a loop: what the item says to it, else the mark."""
+    if mark.field:
+        return str(item[mark.field]) if isinstance(item, dict) and mark.field in item else mark
+    if mark.name == "index":
+        return str(number)
+    return str(item) if mark.name == "item" and not isinstance(item, dict) else mark
+
+
+def _unrolled(parts: list, values: dict) -> list:
+    """Parts with their loops written out, one trimmed line group per item."""
     out = []
-    for i, item in enumerate(items):
-        fields = {f"{{{{item.{k}}}}}": str(v) for k, v in item.items()} if isinstance(item, dict) else {"{{item}}": str(item)}
-        text = body
-        for mark, value in (fields | {"{{index}}": str(i)}).items():
-            text = text.replace(mark, value)
-        out.append(text.strip())
-    return "\n".join(out)
+    for x in parts:
+        if not isinstance(x, _Block):
+            out.append(x)
+            continue
+        items = values.get(x.of, [])
+        for i, item in enumerate(items if isinstance(items, list | tuple) else []):
+            body = [_filled(y, item, i) if isinstance(y, _Mark) else y for y in _unrolled(x.parts, values)]
+            out += (["\n"] if i else []) + _trimmed(body)
+    return out
 
 
 def render(template: str, values: dict, strict: bool = True, defaults: dict | None = None) -> str:
     """A template with its values.
 
-    Conditions go first (by truth of the value), then loops, then variables. A
-    strict template must get every variable, whatever its defaults; a lenient one
-    takes defaults and leaves the rest as it stands. Blank lines are collapsed.
+    Conditions are decided first (by truth of the value), then loops are written
+    out, then variables filled in. A strict template must get every variable, whatever its
+    defaults; a lenient one takes defaults and leaves the rest as it stands. Values
+    are never read as templates. Blank lines are collapsed. Where blocks cross, the outer opening is read first.
     """
-    text = _IF.sub(lambda m: m[2].strip() if values.get(m[1]) else "", template)
-    text = _EACH.sub(lambda m: _loop(m[2], values.get(m[1], [])), text)
-    known = values if strict else {**{k: v for k, v in (defaults or {}).items() if v is not None}, **values}
-    missing = [n for n in dict.fromkeys(_VARIABLE.findall(text)) if n not in known]
+    parts = _unrolled(_chosen(_parsed(template), values), values)
+    known = values if strict else {k: v for k, v in (defaults or {}).items() if v is not None} | values
+    missing = list(dict.fromkeys(x.name for x in parts if isinstance(x, _Mark) and x.name and x.name not in known))
     if strict and missing:
         raise MissingVariables(", ".join(missing))
-    text = _VARIABLE.sub(lambda m: str(known[m[1]]) if m[1] in known else m[0], text)
+    text = "".join(x if isinstance(x, str) else str(known[x.name]) if x.name in known else x.text for x in parts)
     return re.sub(r"\n{3,}", "\n\n", text).strip()
 
 
@@ -76,9 +156,10 @@ def template_hash(name: Column, version: Column, template: Column) -> Column:
 
 
 def history(registrations: DataFrame) -> DataFrame:
-    """Registrations (name, seq, template) with their place: back 0 is current. A name's versions are ranked within it."""
+    """Registrations (name, seq, template) with their place: back 0 is current. A name's versions are ranked within it, by their hashes; the texts don't move."""
     w = Window.partitionBy("name").orderBy(F.col("seq").desc())
-    return registrations.select("name", "seq", "template", (F.row_number().over(w) - 1).alias("back"), template_hash(F.col("name"), F.col("seq"), F.col("template")).alias("hash"))
+    hashed = registrations.select("name", "seq", template_hash(F.col("name"), F.col("seq"), F.col("template")).alias("hash"))
+    return hashed.select("name", "seq", (F.row_number().over(w) - 1).alias("back"), "hash")
 
 
 def current(registrations: DataFrame) -> DataFrame:

@@ -26,8 +26,8 @@ def test_spans_cover_advance_and_overlap():
 
 def test_break_prefers_first_listed_end():
     text = "a" * 25 + ". " + "b" * 10 + "! " + "c" * 40
-    assert chunking.soft_break(text, 0, 60, 20) == 27
-    assert chunking.soft_break("x" * 100, 0, 60, 20) == 60
+    assert chunking.Breaks(text).last(20, 60) == 27
+    assert chunking.Breaks("x" * 100).last(20, 60) == 60
 
 
 def test_sliding_rows(spark):
@@ -241,3 +241,23 @@ def test_section_contexts_hold_whole_contents(spark, tmp_path):
     rows = [("p", 1, "q", "A", long, ["x", "y", "z"]), ("p", 2, "q", None, None, None)]
     spark.createDataFrame(rows, "product_id string, section_id long, pitch_id string, title string, content string, key_points array<string>").write.parquet(f"{tmp_path}/pitch_sections.parquet")
     assert document_queries.section_contexts(spark, str(tmp_path)).first().features_list == f"1. A: {long}\n   Benefits: x, y\n2. : "
+
+
+def test_html_that_cannot_be_read_fails_no_task(spark):
+    odd = '<img src="a.png" width="²"><img src="http://[bad"><picture><source srcset=" , "></picture><table><tr><td colspan="²">x</td></tr></table><a href="http://[bad">l</a><p>A paragraph of text. <img src="http://[worse"></p>'
+    rows = {r.page_id: r for r in html.pages(spark.createDataFrame([(1, odd, "http://[base"), (2, "<p>Plain paragraph.</p>", None)], "page_id long, html string, url string")).collect()}
+    assert rows[1].error is None and rows[2].blocks[0].text == "Plain paragraph." and [i.width for i in rows[1].images][:1] == [0]
+    page, error = html.parsed_or_error(7, "https://a.test/")
+    assert page["blocks"] == [] and error
+
+
+def test_html_takes_linear_time():
+    import time
+
+    def seconds(n):
+        t = time.process_time()
+        html.parsed("<div class=card>" + "<h2>Head</h2><p>Some paragraph here.</p>" * n + "</div>", "")
+        return time.process_time() - t
+
+    seconds(100)
+    assert seconds(8000) < 8 * max(seconds(2000), 0.02)
