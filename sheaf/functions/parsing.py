@@ -16,18 +16,50 @@ def fenced(text: Column) -> Column:
     return F.coalesce(block(r"```json\s*([\s\S]*?)\s*```"), block(r"```\s*([\s\S]*?)\s*```"))
 
 
+def strict_json(text: Column) -> Column:
+    """A text that is one JSON value as a variant; null for anything else, also for a value with more behind it."""
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    return F.when(F.size(F.try_variant_get(listed, "$", "array<variant>")) == 1, F.try_variant_get(listed, "$[0]", "variant"))
+
+
 def extracted_json(text: Column) -> Column:
     """JSON text inside a text: fenced, else the widest object, else the widest array, that parses; else null."""
     def valid(pattern: str) -> Column:
         body = F.regexp_extract(text, pattern, 1)
-        return F.when((body != "") & F.try_parse_json(body).isNotNull(), body)
+        return F.when((body != "") & strict_json(body).isNotNull(), body)
 
     return F.coalesce(fenced(text), valid(r"(\{[\s\S]*\})"), valid(r"(\[[\s\S]*\])"))
 
 
 def parsed_json(text: Column) -> Column:
     """The whole text as JSON, else the JSON inside it, as a variant; null where neither parses (lenient)."""
-    return F.coalesce(F.try_parse_json(F.trim(text)), F.try_parse_json(extracted_json(text)))
+    return F.coalesce(strict_json(F.trim(text)), strict_json(extracted_json(text)))
+
+
+def parsed_list(text: Column, required: str | None = None) -> Column:
+    """JSON of a text as array<variant>, leniently: a single value is a list of one, nothing readable an empty list.
+
+    With required, only the items stay that are objects with that field.
+    """
+    v = parsed_json(text)
+    listed = F.when(F.startswith(F.schema_of_variant(v), F.lit("ARRAY")), F.try_variant_get(v, "$", "array<variant>")).otherwise(F.array(v))
+    rows = F.when(v.isNull(), F.array().cast("array<variant>")).otherwise(listed)
+    return rows if required is None else F.filter(rows, lambda x: F.startswith(F.schema_of_variant(x), F.lit("OBJECT")) & F.try_variant_get(x, f"$.{required}", "string").isNotNull())
+
+
+def lenient_section(text: Column) -> Column:
+    """A section out of a model's answer: struct<parsed, title, content>.
+
+    A fence around the answer is taken off; then the whole counts as JSON, else the
+    widest object in it. What is no JSON becomes the content of a section "Section".
+    """
+    bare = _trimmed(text)
+    lines = F.split(bare, "\n")
+    inner = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - F.when(F.element_at(lines, -1) == "```", 2).otherwise(1), F.lit(0)))
+    body = _trimmed(F.when(F.startswith(bare, F.lit("```")), F.array_join(inner, "\n")).otherwise(bare))
+    v = F.coalesce(strict_json(body), strict_json(F.nullif(F.regexp_extract(body, r"\{[\s\S]*\}", 0), F.lit(""))))
+    of = lambda name: F.try_variant_get(v, f"$.{name}", "string")
+    return F.struct(v.isNotNull().alias("parsed"), F.when(v.isNull(), "Section").otherwise(of("title")).alias("title"), F.when(v.isNull(), body).otherwise(of("content")).alias("content"))
 
 
 def _items(text: Column, pattern: str) -> Column:

@@ -117,3 +117,12 @@ def variants(pitches: DataFrame, audiences: list[str]) -> DataFrame:
 def variant(rows: DataFrame, audience: str) -> DataFrame:
     """The copies for one audience, in any letter case."""
     return rows.where(F.lower("audience") == audience.lower())
+
+
+def contents(sections: DataFrame) -> DataFrame:
+    """Table of contents of each pitch: pitch_id, number (from 1), entry; a summary opens it, the steps after a call to action close it."""
+    rows = sections.select("pitch_id", "section_order", "section_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce(F.col("section_type").isin("cta", "call_to_action") & (F.size("key_points") > 0), F.lit(False)).alias("_calls"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("section_order", "section_id", "title"))), lambda x: x["title"])
+    made = rows.groupBy("pitch_id").agg(listed.alias("t"), F.max("_calls").alias("c"))
+    all_of = F.concat(F.array(F.lit("Executive Summary")), "t", F.when(F.col("c"), F.array(F.lit("Next Steps"))).otherwise(F.array().cast("array<string>")))
+    return made.select("pitch_id", F.posexplode(all_of).alias("number", "entry")).select("pitch_id", (F.col("number") + 1).alias("number"), "entry")

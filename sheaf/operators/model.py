@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheaf.session import small
+
 ModelFn = Callable[[str], str]
 
 # Aspects with the characters of text each prompt takes at most.
@@ -66,3 +68,25 @@ def run_totals(answers: DataFrame) -> DataFrame:
     """Tokens and confidence (share of answered aspects) per key, and whether any aspect was answered."""
     ok = F.count_if(F.col("error").isNull())
     return answers.groupBy("key").agg(F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens"), F.round(ok / F.count(F.lit(1)), 4).alias("confidence"), ok.alias("aspects_ok"))
+
+
+#: What a product is called if no name can be found, and the characters a name is looked for in.
+NAMELESS, NAME_CHARS = "Unknown Product", ASPECTS["name"]
+
+
+def detected_names(texts: DataFrame, make: Callable[[], ModelFn]) -> DataFrame:
+    """Product names found in texts (key, text): key, name. Quotes around an answer are taken off; a failed call gives NAMELESS."""
+    asked = called(prompts(texts, ["name"]), make)
+    bare = F.regexp_replace(F.regexp_replace(F.trim("answer"), '^"+|"+$', ""), "^'+|'+$", "")
+    return asked.select("key", F.coalesce(bare, F.lit(NAMELESS)).alias("name"))
+
+
+def settled(calls: DataFrame, models: DataFrame, tasks: DataFrame, usual: str) -> DataFrame:
+    """Calls (key, task, tokens) with their model: key, model, fits (within its window).
+
+    tasks (task, model) and models (model, window) are the caller's, small; a task
+    without a model takes the usual one, a model without a window has none to exceed.
+    """
+    named = calls.join(small(tasks.select("task", F.col("model").alias("_m"))), "task", "left").withColumn("model", F.coalesce("_m", F.lit(usual)))
+    sized = named.join(small(models.select("model", "window")), "model", "left")
+    return sized.select("key", "model", F.coalesce(F.col("tokens") <= F.col("window"), F.lit(True)).alias("fits"))

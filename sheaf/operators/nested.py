@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sheaf.functions.parsing import strict_json
+
 
 def _surrogate(parent: Column, path: str, *ordinals: Column) -> Column:
     return F.sha2(F.concat_ws("/", parent.cast("string"), F.lit(path), *[o.cast("string") for o in ordinals]), 256)
@@ -97,8 +99,7 @@ def json_variant(text: Column) -> Column:
         lined = F.regexp_extract(bare, r"(?ms)^[ \t]*([\[{].*)\z", 1)
         start = F.when(lined != "", lined).otherwise(F.regexp_extract(bare, r"(?s)([\[{].*)\z", 1))
         upto = F.when(F.startswith(start, F.lit("{")), F.regexp_extract(start, r"(?s)\A(.*\})", 1)).otherwise(F.regexp_extract(start, r"(?s)\A(.*\])", 1))
-        whole = F.try_parse_json(bare)
-        return F.coalesce(whole, F.when(upto != "", F.try_parse_json(upto)))
+        return F.coalesce(strict_json(bare), F.when(upto != "", strict_json(upto)))
 
     first = once(text)
     inner = F.when(F.schema_of_variant(first) == "STRING", F.try_variant_get(first, "$", "string"))

@@ -59,11 +59,6 @@ def usage_cost(calls: DataFrame, rates: DataFrame, default_model: str) -> DataFr
     )
 
 
-def category_counts(features: DataFrame) -> DataFrame:
-    """Features and flagship names by category; unknown categories belong to "other"."""
-    return features.groupBy("category").agg(F.count(F.lit(1)).alias("features"))
-
-
 # Domains with their answer to unknown values.
 CATEGORIES = ("core", "integration", "security", "analytics", "automation", "collaboration", "customization", "mobile", "api", "support", "other")
 AUDIENCES = ("executive", "technical", "end_user", "manager", "developer", "procurement", "general")

@@ -41,14 +41,31 @@ def page_fingerprints(blocks: DataFrame) -> DataFrame:
 
 
 def enriched_media(images: DataFrame, sources: DataFrame) -> DataFrame:
-    """Images completed by sources with the same url (trailing slashes aside): local_path and file_size where the image has no local copy."""
+    """Images completed by sources with the same url, else with the same url but for trailing slashes: local_path and file_size where the image has no local copy.
+
+    Sources without a local copy complete nothing.
+    """
+    copies = sources.where("local_path IS NOT NULL")
     key = F.rtrim("url", F.lit("/"))
-    known = sources.groupBy(key.alias("_k")).agg(F.min(F.struct("local_path", "file_size")).alias("_x"))
-    rows = images.join(known, key == F.col("_k"), "left")
-    bare = F.col("local_path").isNull()
+    least = F.min(F.struct("local_path", "file_size"))
+    exact = copies.groupBy(F.col("url").alias("_u")).agg(least.alias("_e"))
+    loose = copies.groupBy(key.alias("_k")).agg(least.alias("_l"))
+    rows = images.join(exact, F.col("url") == F.col("_u"), "left").join(loose, key == F.col("_k"), "left").withColumn("_x", F.coalesce("_e", "_l"))
+    bare = F.col("local_path").isNull() & F.col("_x").isNotNull()
     return rows.select("block_id", "pos", "url", F.coalesce("local_path", "_x.local_path").alias("local_path"), F.when(bare, F.col("_x.file_size")).otherwise(F.col("file_size")).alias("file_size"))
 
 
+def block_changes(new: DataFrame, old: DataFrame, kept: int = 200) -> DataFrame:
+    """Blocks of a page that are new or gone by their hash: page_id, change (new, removed), hash, text (cut to kept and an ellipsis).
+
+    Both have page_id, hash and text; equal hashes of a page count once, with the least text.
+    """
+    side = lambda rows, sign: rows.groupBy("page_id", "hash").agg(F.min("text").alias("text")).withColumn("n", F.lit(sign))
+    both = side(new, 1).unionByName(side(old, -1)).groupBy("page_id", "hash").agg(F.sum("n").alias("n"), F.min("text").alias("text")).where("n <> 0")
+    text = F.when(F.length("text") > kept, F.concat(F.substring("text", 1, kept), F.lit("..."))).otherwise(F.col("text"))
+    return both.select("page_id", F.when(F.col("n") > 0, "new").otherwise("removed").alias("change"), "hash", text.alias("text"))
+
+
 def line_changes(pages: DataFrame) -> DataFrame:
     """Hashes of text lines new in or removed by the newest snapshot of each product: product_id, change, hash.
 

@@ -121,3 +121,11 @@ def relevance(section_text: Column, asset_text: Column) -> Column:
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 2))
     own = words(asset_text)
     return F.coalesce(F.try_divide(F.size(F.array_intersect(words(section_text), own)), F.size(own)), F.lit(0.0))
+
+
+def assets_by_ids(assets: DataFrame, ids: DataFrame) -> DataFrame:
+    """Assets whose asset_id is asked for, each as often as it stands in the inventory, with their place in its order (images, tables, videos; block, position)."""
+    kind = F.array_position(F.array(*[F.lit(k) for k in ("image", "table", "video")]), F.col("asset_type"))
+    asked = assets.join(ids.select("asset_id").distinct(), "asset_id", "left_semi")
+    place = F.row_number().over(Window.partitionBy("owner").orderBy(kind, "block_id", "pos", "asset_id")) - 1
+    return asked.select("owner", "asset_id", "asset_type", place.alias("place"))

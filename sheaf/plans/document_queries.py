@@ -83,12 +83,22 @@ def pitch_slides(spark, d):
     return assembly.slides(_sections(spark, d)).select("pitch_id", "slide_no", "kind", "title", F.size("bullets").alias("bullets"), F.length("notes").alias("notes"))
 
 
+def pitch_contents(spark, d):
+    return assembly.contents(_sections(spark, d))
+
+
+def assets_by_ids(spark, d):
+    """The assets that are no plain pictures, asked for by their ids, in the order of each inventory."""
+    assets = visuals.inventory(_blocks(spark, d))
+    return visuals.assets_by_ids(assets, assets.where("kind <> 'image'").select("asset_id"))
+
+
 def pitch_calls(spark, d):
     return assembly.call_to_action(_sections(spark, d))
 
 
 def short_titles(spark, d):
-    return table(spark, d, "documents").where("title IS NOT NULL").select("doc_id", shortened(F.col("title"), 20, 17).alias("title"), hex_rgb(F.concat(F.lit("#"), F.substring(F.md5("title"), 1, 6)))[0].alias("red"))
+    return table(spark, d, "documents").where("title IS NOT NULL").select("doc_id", shortened(F.col("title"), 20, 17).alias("title"), F.array_join(hex_rgb(F.concat(F.lit("#"), F.substring(F.md5("title"), 1, 6))).cast("array<string>"), " ").alias("rgb"))
 
 
 def template_history(spark, d):
@@ -149,7 +159,7 @@ def feature_highlights(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     snapshot_diff, snapshot_diff_counts, first_snapshots, visual_inventory, visual_totals, visual_candidates, image_files, mapping_validate, section_plan, pitch_markdown, pitch_text, pitch_totals, pitch_outline,
-    pitch_slides, pitch_calls, short_titles, template_history, template_variables, templates_rendered, html_blocks, title_hash_groups, site_analysis, html_structure, section_contexts, feature_highlights,
+    pitch_slides, pitch_contents, assets_by_ids, pitch_calls, short_titles, template_history, template_variables, templates_rendered, html_blocks, title_hash_groups, site_analysis, html_structure, section_contexts, feature_highlights,
 )}
 
 from sheaf.plans.data_queries import _PAGES  # noqa: E402
@@ -169,7 +179,28 @@ _INV = _IMG + ", " + _T.removeprefix(f"WITH {B}, ").replace("SELECT block_id, ta
   inv AS (SELECT owner, asset_id, asset_type, kind FROM p QUALIFY row_number() OVER (PARTITION BY owner, asset_id ORDER BY block_id, pos, asset_type) = 1)"""
 _WORDS = r"len(regexp_extract_all({0}, '[^\t-\r ]+'))"
 
+_PREFERRED = ", ".join(f"('{s}', '{k}', {i})" for s, kinds in visuals.PREFERRED.items() for i, k in enumerate(kinds))
+_MOST = ", ".join(f"('{s}', {n})" for s, n in visuals.MOST.items())
+_NAMES = ", ".join(f"('{s}')" for s in (*visuals.PREFERRED, "problem"))
+_FULL = "SELECT owner, asset_id, asset_type, kind, block_id, pos FROM p QUALIFY row_number() OVER (PARTITION BY owner, asset_id ORDER BY block_id, pos, asset_type) = 1"
+_SENTENCES = r"list_filter(string_split(regexp_replace(replace(coalesce({0}, ''), chr(10), chr(1)), '([.!?])[\t-\r ]+', '\1' || chr(1), 'g'), chr(1)), lambda x: length(trim(x)) > 0)"
+
 ORACLE = {
+    "visual_candidates": _INV + f""", v AS ({_FULL}), w AS (SELECT DISTINCT extraction_id AS owner, s.section_type FROM b, (VALUES {_NAMES}) s(section_type) WHERE extraction_id IS NOT NULL),
+      top AS (SELECT *, row_number() OVER (PARTITION BY owner, kind ORDER BY block_id, pos, asset_id) AS n FROM v QUALIFY n <= 10),
+      liked AS (SELECT w.owner, w.section_type, asset_id, asset_type, pr.i, n FROM w JOIN (VALUES {_PREFERRED}) pr(section_type, kind, i) USING (section_type) JOIN top ON top.owner = w.owner AND top.kind = pr.kind),
+      every AS (SELECT * FROM liked UNION ALL SELECT w.owner, w.section_type, asset_id, asset_type, 9, n FROM w JOIN top ON top.owner = w.owner AND top.kind = 'image' WHERE (w.owner, w.section_type) NOT IN (SELECT owner, section_type FROM liked)),
+      r AS (SELECT owner, every.section_type, asset_id, asset_type, row_number() OVER (PARTITION BY owner, every.section_type ORDER BY i, n, asset_id) AS place, least(coalesce(m.most, 2), 3) AS most FROM every LEFT JOIN (VALUES {_MOST}) m(section_type, most) ON m.section_type = every.section_type)
+      SELECT owner, section_type, asset_id, CAST(place AS INT) AS place, CASE WHEN place = 1 AND section_type IN ('hook', 'solution') THEN 'hero' WHEN asset_type = 'table' THEN 'comparison' ELSE 'inline' END AS placement FROM r WHERE place <= most""",
+    "assets_by_ids": _INV + f""", v AS ({_FULL}), s AS (SELECT asset_id FROM v WHERE kind <> 'image')
+      SELECT owner, asset_id, asset_type, CAST(row_number() OVER (PARTITION BY owner ORDER BY CASE asset_type WHEN 'image' THEN 1 ELSE 2 END, block_id, pos, asset_id) - 1 AS INT) AS place FROM v SEMI JOIN s USING (asset_id)""",
+    "pitch_contents": f"""WITH {S}, o AS (SELECT pitch_id, section_order, section_id, coalesce(title, '') AS entry FROM s), e AS (SELECT DISTINCT pitch_id, -1000000 AS section_order, CAST(0 AS BIGINT) AS section_id, 'Executive Summary' AS entry FROM s
+        UNION ALL SELECT * FROM o UNION ALL SELECT DISTINCT pitch_id, 1000000, CAST(0 AS BIGINT), 'Next Steps' FROM s WHERE section_type IN ('cta', 'call_to_action') AND len(key_points) > 0)
+      SELECT pitch_id, CAST(row_number() OVER (PARTITION BY pitch_id ORDER BY section_order NULLS FIRST, section_id) AS INT) AS number, entry FROM e""",
+    "pitch_slides": f"""WITH {S}, o AS (SELECT pitch_id, coalesce(title, '') AS title, CASE WHEN section_type IN ('cta', 'call_to_action') THEN 'cta' ELSE 'content' END AS kind,
+        CAST(least(6, CASE WHEN len(key_points) > 0 THEN len(key_points) ELSE len({_SENTENCES.format('content')}) END) AS INT) AS bullets, CAST(length(array_to_string(list_filter(coalesce(talking_points, []), lambda x: x IS NOT NULL), chr(10))) AS INT) AS notes,
+        row_number() OVER (PARTITION BY pitch_id ORDER BY CAST(coalesce(section_type IN ('cta', 'call_to_action'), false) AS INT), section_order, section_id) AS slide_no FROM s)
+      SELECT pitch_id, CAST(slide_no AS INT) AS slide_no, kind, title, bullets, notes FROM o UNION ALL SELECT pitch_id, 0, 'title', title, 0, 0 FROM o WHERE slide_no = 1""",
     "snapshot_diff": _NEWEST + " SELECT product_id, url_key, status FROM f",
     "snapshot_diff_counts": _NEWEST + " SELECT status, count(*) AS pages FROM f GROUP BY status",
     "first_snapshots": _PAGES + ", c AS (SELECT product_id, extraction_id, min(started_at) AS began, count(*) AS added FROM pages GROUP BY ALL) SELECT product_id, added FROM c QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY began, extraction_id) = 1",
@@ -189,7 +220,7 @@ ORACLE = {
       SELECT pitch_id, CAST(slide_no AS INT) AS slide_no, kind, title FROM o UNION ALL SELECT pitch_id, 0, 'title', title FROM o WHERE slide_no = 1""",
     "pitch_calls": f"""WITH {S}, c AS (SELECT pitch_id, coalesce(key_points, []) AS k FROM s WHERE section_type IN ('cta', 'call_to_action') QUALIFY row_number() OVER (PARTITION BY pitch_id ORDER BY section_order, section_id) = 1)
       SELECT pitch_id, coalesce(k[1], 'Learn more') AS first_call, k[2] AS second_call, array_to_string(k[3:], ' | ') AS steps FROM c""",
-    "short_titles": "SELECT doc_id, CASE WHEN length(title) > 20 THEN substr(title, 1, 17) || '...' ELSE title END AS title, CAST('0x' || substr(md5(title), 1, 2) AS INT) AS red FROM documents WHERE title IS NOT NULL",
+    "short_titles": "SELECT doc_id, CASE WHEN length(title) > 20 THEN substr(title, 1, 17) || '...' ELSE title END AS title, concat_ws(' ', CAST('0x' || substr(md5(title), 1, 2) AS INT), CAST('0x' || substr(md5(title), 3, 2) AS INT), CAST('0x' || substr(md5(title), 5, 2) AS INT)) AS rgb FROM documents WHERE title IS NOT NULL",
     "template_history": f"WITH {S} SELECT section_type AS name, section_id AS seq, CAST(row_number() OVER (PARTITION BY section_type ORDER BY section_id DESC) - 1 AS INT) AS back, substr(sha256(section_type || ':' || section_id || ':' || coalesce(content, '')), 1, 12) AS hash FROM s",
     "template_variables": r"""WITH v AS (SELECT doc_id, regexp_extract_all('{{title}} {{lang}} {{title}} ' || text, '\{\{(?:#(?:if|each)\s+)?(\w+)\}\}', 1) AS v FROM documents WHERE text IS NOT NULL) SELECT doc_id, array_to_string(list_sort(list_distinct(v)), ',') AS variables FROM v""",
     "feature_highlights": f"""WITH {S}, r AS (SELECT pitch_id AS owner, row_number() OVER (PARTITION BY pitch_id ORDER BY section_order, concat_ws('-', section_type, section_id)) AS place, concat_ws('-', section_type, section_id) AS name, substr(content, 1, 100) AS headline, coalesce(key_points[1], '') AS benefit FROM s WHERE content IS NOT NULL)

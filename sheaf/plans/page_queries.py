@@ -178,6 +178,14 @@ def heading_carried(spark, d):
     return rows.select("block_id", F.last("heading", ignorenulls=True).over(w).alias("section"))
 
 
+def page_full_texts(spark, d):
+    """All text of each page: of each block its text, then its list items."""
+    b = blocks(spark, d, "page_id", "block_order", F.concat(F.array(F.nullif("text", F.lit(""))), F.coalesce("list_items", F.array().cast("array<string>"))).alias("t"))
+    listed = F.array_sort(F.collect_list(F.struct("block_order", "block_id", F.array_compact("t").alias("t"))))
+    rows = b.groupBy("page_id").agg(F.flatten(F.transform(listed, lambda x: x["t"])).alias("t")).where(F.size("t") > 0)
+    return rows.select("page_id", F.array_join("t", "\n\n").alias("text"))
+
+
 def page_headings(spark, d):
     rows = blocks(spark, d, "page_id", "block_order", "text").join(blocks(spark, d, "content_type").where("content_type = 'heading'").select("block_id"), "block_id", "left_semi")
     listed = F.array_sort(F.collect_list(F.struct("block_order", "block_id", "text")))
@@ -204,7 +212,7 @@ def clean_titles(spark, d):
 QUERIES = {f.__name__: f for f in (
     url_normalized, url_category, url_child_filter, page_links, link_host_totals, crawl_plan, site_confidence, text_hashes, exact_duplicates, title_rolling_hash, block_hashes, page_fingerprints,
     snapshot_fingerprints, block_classes, class_counts, image_flags, image_filter, image_first_of_page, media_enriched, frameworks, table_shapes, table_kinds, table_markdown, page_totals, site_totals,
-    heading_carried, page_headings, latest_snapshot, block_diff, clean_titles,
+    heading_carried, page_headings, page_full_texts, latest_snapshot, block_diff, clean_titles,
 )}
 
 
@@ -304,8 +312,10 @@ ORACLE = {
     "image_filter": _IMG + f"""SELECT block_id, pos, CASE WHEN starts_with(url, 'data:') OR {_has('lower(url)', rules.TRACKING)} THEN false WHEN is_logo OR is_diagram OR is_screenshot THEN true
         WHEN is_icon AND w < 100 AND h < 100 THEN false ELSE NOT (w > 0 AND w < 50) AND NOT (h > 0 AND h < 50) END AS keeps FROM i""",
     "image_first_of_page": _IMG + "SELECT page_id, url, block_id, pos FROM i QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY block_order NULLS LAST, block_id, pos) = 1",
-    "media_enriched": _IMG + """, s AS (SELECT rtrim(url, '/') AS k, min(struct_pack(p := local_path, s := file_size)) AS x FROM i WHERE local_path IS NOT NULL GROUP BY 1)
-      SELECT block_id, pos, url, coalesce(local_path, x.p) AS local_path, CASE WHEN local_path IS NULL THEN x.s ELSE file_size END AS file_size FROM i LEFT JOIN s ON rtrim(url, '/') = k""",
+    "media_enriched": _IMG + """, c0 AS (SELECT * FROM i WHERE local_path IS NOT NULL), w AS (SELECT url AS u, min(struct_pack(p := local_path, s := file_size)) AS x FROM c0 GROUP BY 1), s0 AS (SELECT rtrim(url, '/') AS k, min(struct_pack(p := local_path, s := file_size)) AS y FROM c0 GROUP BY 1)
+      SELECT block_id, pos, url, coalesce(local_path, x.p, y.p) AS local_path, CASE WHEN local_path IS NULL AND coalesce(x, y) IS NOT NULL THEN coalesce(x, y).s ELSE file_size END AS file_size FROM i LEFT JOIN w ON url = u LEFT JOIN s0 ON rtrim(url, '/') = k""",
+    "page_full_texts": f"""WITH {B}, p AS (SELECT page_id, block_order, block_id, -1 AS n, text AS t FROM b WHERE text <> '' UNION ALL SELECT page_id, block_order, block_id, unnest(range(len(list_items))), unnest(list_items) FROM b)
+      SELECT page_id, string_agg(t, chr(10) || chr(10) ORDER BY block_order NULLS FIRST, block_id, n) AS text FROM p WHERE t IS NOT NULL GROUP BY page_id""",
     "frameworks": f"""WITH {B}, f AS (SELECT block_id, text, {_NEAR} AS html FROM b WHERE html IS NOT NULL)
       SELECT block_id, {_first(rules.FRAMEWORKS, f"CASE WHEN regexp_matches(html, '{rules.APP_ROOT}') THEN 'unknown' END")} AS framework,
         {_first(rules.SITE_FRAMEWORKS, "CASE WHEN length(trim(coalesce(text, ''))) < 500 THEN 'unknown' END")} AS site_framework,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sheaf.functions import parsing
 from sheaf.operators import cache_table as cache
-from sheaf.operators import list_tables, nested, rollups
+from sheaf.operators import rollups
 from sheaf.sources.tables import table
 
 NOW = 1_720_000_000.0
@@ -119,37 +119,9 @@ def usage_cost(spark, d):
     return rollups.usage_cost(calls, spark.createDataFrame(RATES, "model string, input_per_m double, output_per_m double"), "view")
 
 
-def _features(spark, d):
-    """Features of the answers as rows: entry_id, pos, name, category, benefits (array)."""
-    rows = list_tables.answer_tables(table(spark, d, "cache_entries"), "features")[""]
-    v = F.col("value")
-    text = lambda p: F.try_variant_get(v, p, "string")
-    benefits = F.transform(nested.as_list(F.try_variant_get(v, "$.benefits", "variant")), lambda b: F.try_variant_get(b, "$", "string"))
-    return rows.select("entry_id", F.get("_at", F.lit(0)).alias("pos"), text("$.name").alias("name"), text("$.category").alias("category"), benefits.alias("benefits")).where("name IS NOT NULL").dropDuplicates(["entry_id", "pos"])
-
-
-def feature_counts(spark, d):
-    rows = _features(spark, d).select("entry_id", rollups.coerced(F.col("category"), rollups.CATEGORIES, "other").alias("category"))
-    return rows.groupBy("entry_id", "category").agg(F.count(F.lit(1)).alias("features"))
-
-
-def top_features(spark, d):
-    """Names of the first five features of each entry, in order."""
-    listed = F.array_sort(F.collect_list(F.struct("pos", "name")))
-    rows = _features(spark, d).where("pos < 5").groupBy("entry_id").agg(listed.alias("x"))
-    return rows.select("entry_id", F.array_join(F.transform("x", lambda x: x["name"]), ", ").alias("names"))
-
-
-def audience_members(spark, d):
-    """Sections by named audience: multi-valued membership, unknown ones dropped."""
-    who = F.split("section_type", "_")
-    kept = rollups.members(F.concat(who, F.array(F.lit("Executive"), F.lit("aliens"))), rollups.AUDIENCES)
-    return _sections(spark, d).select("section_id", F.explode(kept).alias("audience")).groupBy("audience").agg(F.count(F.lit(1)).alias("sections"))
-
-
 QUERIES = {f.__name__: f for f in (
     json_fenced, json_parsed, event_properties, parse_bullets, parse_numbered, parse_key_values, parse_sections, cache_files, cache_expired, cache_latest, cache_probe, cache_hit_rate, cache_lru_keep,
-    cache_left, cached_aspects, cache_size, batch_totals, retry_outcomes, progress, usage_cost, feature_counts, top_features, audience_members,
+    cache_left, cached_aspects, cache_size, batch_totals, retry_outcomes, progress, usage_cost,
 )}
 
 E = "e AS (SELECT * FROM cache_entries QUALIFY row_number() OVER (PARTITION BY entry_id) = 1)"
@@ -160,7 +132,12 @@ _PROBE = f"""WITH h AS (SELECT DISTINCT content_hash FROM cache_entries), q AS (
   v AS (SELECT DISTINCT key FROM cache_entries WHERE expires_at IS NULL OR expires_at >= {NOW}), p AS (SELECT aspect, content_hash, v.key IS NOT NULL AS hit FROM q LEFT JOIN v ON v.key = aspect || ':' || content_hash)"""
 _B, _C, _Q = r"'^\*\*([^*]+)\*\*:\s*(.+)$'", r"'^([^:=]+):\s*(.+)$'", r"'^([^:=]+)=\s*(.+)$'"
 
+_WIDEST = [r"regexp_extract(data, '(\{[\s\S]*\})', 1)", r"regexp_extract(data, '(\[[\s\S]*\])', 1)"]
+_INSIDE = ", ".join([f"CASE WHEN regexp_matches({x}, '^[{{\\[]') THEN {x} END" for x in (_F1, _F2)] + [f"CASE WHEN json_valid({x}) THEN {x} END" for x in _WIDEST])
+
 ORACLE = {
+    "json_parsed": f"""WITH {E}, p AS (SELECT entry_id, CASE WHEN json_valid(trim(data)) THEN CAST(trim(data) AS JSON) ELSE TRY_CAST(coalesce({_INSIDE}) AS JSON) END AS v FROM e)
+      SELECT entry_id, v IS NOT NULL AS parsed, CASE json_type(v) WHEN 'VARCHAR' THEN 'STRING' WHEN 'UBIGINT' THEN 'BIGINT' WHEN 'NULL' THEN 'VOID' ELSE json_type(v) END AS kind FROM p""",
     "json_fenced": f"WITH {E} SELECT entry_id, coalesce(CASE WHEN regexp_matches({_F1}, '^[{{\\[]') THEN {_F1} END, CASE WHEN regexp_matches({_F2}, '^[{{\\[]') THEN {_F2} END) AS json FROM e",
     "event_properties": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events",
     "parse_bullets": rf"""WITH x AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '(?m)^\s*[-*•]\s*(.+)$', 1), lambda i: {_TRIM.format('i')}), lambda i: i <> '') AS b FROM documents WHERE text IS NOT NULL)
@@ -194,5 +171,4 @@ ORACLE = {
     "progress": "SELECT event_type, round(100 * count(*) / 5000, 1) AS percent, round(avg(value), 4) AS mean_seconds, round(avg(value) * greatest(5000 - count(*), 0), 2) AS seconds_left FROM events GROUP BY event_type",
     "usage_cost": f"""WITH r(model, i, o) AS (VALUES {', '.join(map(str, RATES))}), c AS (SELECT event_type AS model, event_id AS x, user_id AS y, coalesce(r.i, 3.0) AS i, coalesce(r.o, 15.0) AS o FROM events LEFT JOIN r ON r.model = event_type)
       SELECT model, count(*) AS requests, CAST(sum(x + y) AS BIGINT) AS tokens, round(sum((x * i + y * o) / 1e6), 4) AS cost FROM c GROUP BY ROLLUP (model)""",
-    "audience_members": f"WITH {S} SELECT 'executive' AS audience, count(*) AS sections FROM s",
 }

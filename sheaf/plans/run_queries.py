@@ -18,8 +18,8 @@ def stream_flush(spark, d):
 
 
 def stream_last_hash(spark, d):
-    """The hash of the latest row of each page, kept by the change monitor."""
-    return flush.monitored(spark, flush.file_stream(spark, d, "snapshot_pages")).select("url_key", "hash")
+    """The hash of the latest row of each page and how often it changed, kept by the change monitor."""
+    return flush.monitored(spark, flush.file_stream(spark, d, "snapshot_pages"))
 
 
 def _answers(spark, d):
@@ -46,6 +46,7 @@ QUERIES = {f.__name__: f for f in (stream_flush, stream_last_hash, model_answers
 
 ORACLE = {
     "stream_flush": "SELECT event_type, count(*) AS n, round(sum(value), 2) AS v FROM events GROUP BY event_type",
-    "stream_last_hash": _PAGES.split("pages AS (")[0].rstrip().rstrip(",") + " SELECT url_key, hash FROM keyed QUALIFY row_number() OVER (PARTITION BY url_key ORDER BY extracted_at DESC, hash DESC) = 1",
+    "stream_last_hash": _PAGES.split("pages AS (")[0].rstrip().rstrip(",") + """, q AS (SELECT url_key, extracted_at, hash, lag(hash) OVER (PARTITION BY url_key ORDER BY extracted_at, hash) AS before FROM (SELECT DISTINCT url_key, extracted_at, hash FROM keyed))
+      SELECT url_key, max_by(hash, struct_pack(a := extracted_at, h := hash)) AS hash, count(*) FILTER (before <> hash) AS changes FROM q GROUP BY url_key""",
     "prompt_sizes": "SELECT doc_id, aspect, CAST(length(aspect) + 1 + least(length(text), most) AS INT) AS chars FROM documents, (VALUES " + ", ".join(map(str, model.ASPECTS.items())) + ") a(aspect, most) WHERE text IS NOT NULL",
 }

@@ -13,9 +13,9 @@ from sheaf.functions.keys import hash_key, url_key
 from sheaf.session import shared_dir
 
 
-def run_available(stream: DataFrame, flush: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+def run_available(stream: DataFrame, flush: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     """Everything that is there now, in micro-batches; the checkpoint makes a restart go on where it stopped."""
-    query = stream.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode(mode).foreachBatch(flush).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
@@ -37,28 +37,23 @@ def flushed(spark: SparkSession, stream: DataFrame, make: Callable[[DataFrame],
 def monitored(spark: SparkSession, stream: DataFrame) -> DataFrame:
     """The last hash of each url after all micro-batches, and how often it changed: url_key, hash, changes.
 
-    Each batch is merged with the state before it into a new folder of the shared
-    directory; the state has one short row per url.
+    The versions of each page (time and hash) are keyed state of the stream, so a
+    batch costs what it touches; changes are counted in the order of times, of equal
+    times the larger hash stands last. Rows sent twice change nothing.
     """
     place = f"{shared_dir(spark)}/monitor-{uuid.uuid4().hex}"
-
-    def merge(rows: DataFrame, n: int) -> None:
-        # a page's row is ordered by its time; of equal times the larger hash stands
-        new = rows.where("url IS NOT NULL").select(url_key(F.col("url")).alias("url_key"), F.struct("extracted_at", hash_key(F.col("content_hash"), F.col("page_text")).alias("hash")).alias("seen"))
-        hashes = new.groupBy("url_key").agg(F.max("seen").alias("last"), F.countDistinct("seen.hash").alias("kinds"))
-        if n:
-            old = spark.read.parquet(f"{place}/state={n - 1}").select("url_key", F.col("last").alias("before"), F.col("changes").alias("so_far"))
-            both = hashes.join(old, "url_key", "full")
-            differs = (F.col("last.hash") != F.col("before.hash")).cast("int")
-            changes = F.coalesce("so_far", F.lit(0)) + F.coalesce(F.col("kinds") - 1 + F.when(F.col("before").isNotNull(), differs).otherwise(0), F.lit(0))
-            out = both.select("url_key", F.greatest("last", "before").alias("last"), changes.cast("long").alias("changes"))
-        else:
-            out = hashes.select("url_key", "last", (F.col("kinds") - 1).cast("long").alias("changes"))
-        out.write.mode("overwrite").parquet(f"{place}/state={n}")
-        newest[0] = n
-
-    newest = [-1]
-    run_available(stream, merge, f"{place}/checkpoint")
-    if newest[0] < 0:
-        return spark.createDataFrame([], "url_key string, hash string, changes long")
-    return spark.read.parquet(f"{place}/state={newest[0]}").select("url_key", "last.hash", "changes")
+    seen = F.struct("extracted_at", hash_key(F.col("content_hash"), F.col("page_text")).alias("hash"))
+    rows = stream.where("url IS NOT NULL").select(url_key(F.col("url")).alias("url_key"), seen.alias("seen")).groupBy("url_key").agg(F.array_sort(F.collect_set("seen")).alias("seen"))
+    differs = F.aggregate(F.sequence(F.lit(1), F.size("seen") - 1), F.lit(0).cast("long"), lambda n, i: n + (F.get("seen", i)["hash"] != F.get("seen", i - 1)["hash"]).cast("long"))
+    made = rows.select("url_key", F.element_at("seen", -1)["hash"].alias("hash"), F.when(F.size("seen") > 1, differs).otherwise(F.lit(0).cast("long")).alias("changes"))
+    batches: list[int] = []
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{place}/out/batch={n}")
+        batches.append(n)
+
+    run_available(made, keep, f"{place}/state", "update")
+    kinds = "url_key string, hash string, changes long, batch long"
+    out = spark.read.schema(kinds).parquet(f"{place}/out") if batches else spark.createDataFrame([], kinds)
+    last = out.groupBy("url_key").agg(F.max_by(F.struct("hash", "changes"), "batch").alias("x"))
+    return last.select("url_key", "x.hash", "x.changes")
