@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bound of the sample: lines per language, and characters of a line that is sampled.
@@ -29,8 +29,9 @@ SAMPLE_LINES, SAMPLE_CHARS = 2500, 2000
 PROFILE, GRAMS = 3000, (1, 2, 3)
 #: Words a line needs to be judged.
 LEAST_WORDS = 7
-#: Lines without a single n-gram of any profile get this language.
-UNKNOWN = "und"
+#: Lines in none of the languages get this one: those less sure than LEAST_CONFIDENCE (lines of the eight languages have 0.22 and
+#: more on sf0.1, sentences of six others at most 0.13) or without a single n-gram of any profile.
+UNKNOWN, LEAST_CONFIDENCE = "und", 0.16
 #: Words kept per task.
 KEPT = 300_000
 _MOST = (1 << 22) - 1
@@ -151,7 +152,7 @@ def _long_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def profiles_of(docs: DataFrame) -> dict[str, list[str]]:
-    """Profiles fitted on the labelled lines of docs (lang, text): at most about SAMPLE_LINES lines a language, chosen by hash."""
+    """Profiles fitted on the labelled lines of docs (lang, text): at most SAMPLE_LINES different lines a language, chosen by hash."""
     code = label_code(F.col("lang"))
     labelled = docs.select(code.alias("code"), "text").where(F.col("code").isin(list(NAMES)) & F.col("text").isNotNull())
     weights = {r.code: r.n for r in labelled.groupBy("code").agg(F.sum(F.greatest(F.lit(1), F.length("text") / 100)).alias("n")).collect()}
@@ -160,11 +161,13 @@ def profiles_of(docs: DataFrame) -> dict[str, list[str]]:
     rate = F.create_map(*[F.lit(x) for c, n in weights.items() for x in (c, float(min(1.0, 3 * SAMPLE_LINES / n)))])
     chance = F.shiftrightunsigned(F.xxhash64("text"), 11).cast("double") / float(2**53)
     some = labelled.where(chance < F.element_at(rate, F.col("code"))).mapInPandas(_long_lines, "code string, line string")
+    # the lines of the least hashes of each language, each line once; ranked in salted parts first, so no language is one task's
     lines: dict[str, list[str]] = {}
-    for r in some.select("code", "line", F.xxhash64("line").alias("h")).orderBy("h", "line", "code").limit(2 * SAMPLE_LINES * len(weights)).collect():
-        own = lines.setdefault(r.code, [])
-        if len(own) < SAMPLE_LINES:
-            own.append(r.line)
+    rows = some.distinct().select("code", "line", F.xxhash64("line").alias("h"))
+    for parts in (["code", F.pmod("h", F.lit(64))], ["code"]):
+        rows = rows.withColumn("n", F.row_number().over(Window.partitionBy(*parts).orderBy("h", "line"))).where(F.col("n") <= SAMPLE_LINES)
+    for r in rows.orderBy("code", "n").collect():
+        lines.setdefault(r.code, []).append(r.line)
     for _ in range(2):
         ranker = Ranker(fit(lines))
         lines = {c: [x for x, found in zip(own, ranker.judge(own)[0]) if found == c] for c, own in lines.items()}
@@ -184,6 +187,7 @@ def _judged(ranker):
             for start in range(0, len(own), TOGETHER):
                 part = own[start : start + TOGETHER]
                 codes, trust = judge.judge([p[4] for p in part])
+                codes = np.where(trust < LEAST_CONFIDENCE, UNKNOWN, codes)
                 out = pd.DataFrame([p[:4] for p in part], columns=["doc_id", "line_no", "chars", "label"])
                 yield out.assign(lang=codes, confidence=np.round(trust, 4))
 
@@ -209,13 +213,19 @@ def mislabelled_lines(docs: DataFrame) -> DataFrame:
 
 
 def document_languages(docs: DataFrame) -> DataFrame:
-    """One row per document with judged lines: doc_id, label, lang, share, confidence, languages.
+    """One row per document: doc_id, label, lang, share, confidence, languages.
 
     lang has the most characters of judged lines (ties: the first code), share is
     its share of them, confidence the mean of its lines by characters, languages
-    the sorted codes met.
+    the sorted codes met. A document without a judged line (null, empty, short lines only) is
+    UNKNOWN with share and confidence 0 and no languages.
     """
-    by = line_languages(docs).groupBy("doc_id", "label", "lang").agg(F.sum("chars").alias("n"), F.sum(F.col("chars") * F.col("confidence")).alias("t"))
+    by = line_languages(docs).groupBy("doc_id", "lang").agg(F.sum("chars").alias("n"), F.sum(F.col("chars") * F.col("confidence")).alias("t"))
     top = F.max(F.struct(F.col("n"), (-F.ascii("lang") * 256 - F.ascii(F.substring("lang", 2, 1))).alias("_o"), "lang", "t"))
-    rows = by.groupBy("doc_id", "label").agg(top.alias("x"), F.sum("n").alias("all"), F.array_sort(F.collect_set("lang")).alias("languages"))
-    return rows.select("doc_id", "label", "x.lang", F.round(F.col("x.n") / F.col("all"), 4).alias("share"), F.round(F.col("x.t") / F.col("x.n"), 4).alias("confidence"), F.array_join("languages", ",").alias("languages"))
+    rows = by.groupBy("doc_id").agg(top.alias("x"), F.sum("n").alias("all"), F.array_sort(F.collect_set("lang")).alias("languages"))
+    found = rows.select("doc_id", "x.lang", F.round(F.col("x.n") / F.col("all"), 4).alias("share"), F.round(F.col("x.t") / F.col("x.n"), 4).alias("confidence"), F.array_join("languages", ",").alias("languages"))
+    every = docs.groupBy("doc_id").agg(F.min(label_code(F.col("lang"))).alias("label"))
+    none = F.lit(0.0)
+    return every.join(found, "doc_id", "left").select(
+        "doc_id", "label", F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.coalesce("share", none).alias("share"), F.coalesce("confidence", none).alias("confidence"), F.coalesce("languages", F.lit("")).alias("languages")
+    )

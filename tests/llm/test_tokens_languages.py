@@ -93,10 +93,26 @@ def test_languages_of_lines_and_documents(spark):
     assert got == {(10, 2, "fr"), (11, 0, "en")}
     assert all(0 <= r.confidence <= 1 for r in language.line_languages(df).collect())
     whole = {r.doc_id: (r.lang, r.languages) for r in language.document_languages(df).collect()}
-    assert whole[0] == ("en", "en") and whole[10][1] == "de,fr" and 12 not in whole
+    assert whole[0] == ("en", "en") and whole[10][1] == "de,fr" and whole[12] == whole[13] == whole[14] == ("und", "")
 
 
 def test_without_labels_nothing_is_claimed(spark):
     df = spark.createDataFrame([(1, TEXTS["en"], None)], "doc_id long, text string, lang string")
     assert [(r.lang, r.confidence) for r in language.line_languages(df).collect()] == [("und", 0.0)]
     assert language.mislabelled_lines(df).count() == 0 and language.line_languages(df.limit(0)).count() == 0
+
+
+def test_other_languages_are_unknown(spark):
+    folder = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(folder):
+        pytest.skip("needs the test tables to fit profiles")
+    known = spark.read.parquet(folder).select("doc_id", "text", "lang")
+    text = TEXTS["en"] + "\nDen gamla mannen gick långsamt över bron och såg ut över vattnet."
+    rows = known.union(spark.createDataFrame([(-1, text, None)], known.schema))
+    assert {(r.line_no, r.lang) for r in language.line_languages(rows).where("doc_id = -1").collect()} == {(0, "en"), (1, "und")}
+
+
+def test_sample_is_of_different_lines(spark, monkeypatch):
+    rows = [(i, TEXTS["de"], "de") for i in range(300)] + [(400 + i, t, c) for i, (c, t) in enumerate(TEXTS.items())]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert set(language.profiles_of(df)) == set(TEXTS)
