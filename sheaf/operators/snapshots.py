@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +44,27 @@ def page_fingerprints(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("page_id").agg(fp.page_fingerprint(F.lit(""), F.lit(""), listed, none).alias("fingerprint"))
 
 
+def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    owner, digest = None, None
+    for rows in batches:
+        out = []
+        for e, line in zip(rows["extraction_id"], rows["line"]):
+            if digest is None or e != owner:
+                out += [(owner, digest.hexdigest())] if digest else []
+                owner, digest = e, hashlib.sha256(line.encode())
+            else:
+                digest.update(b"\n" + line.encode())
+        yield pd.DataFrame(out, columns=["extraction_id", "fingerprint"])
+    if digest is not None:
+        yield pd.DataFrame([(owner, digest.hexdigest())], columns=["extraction_id", "fingerprint"])
+
+
+def snapshot_fingerprints(lines: DataFrame) -> DataFrame:
+    """Fingerprint of each snapshot from its distinct lines (extraction_id, line) in order: a digest that takes them as a stream, none is held."""
+    rows = lines.select("extraction_id", "line").distinct().repartition("extraction_id").sortWithinPartitions("extraction_id", "line")
+    return rows.mapInPandas(_hashed, "extraction_id string, fingerprint string")
+
+
 def enriched_media(images: DataFrame, sources: DataFrame) -> DataFrame:
     """Images completed by sources with the same url, else with the same url but for trailing slashes: local_path and file_size where the image has no local copy.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sheaf.functions.fingerprints import text_hash
@@ -53,10 +54,10 @@ def image_files(spark, d):
 
 
 def mapping_validate(spark, d):
-    assets = visuals.inventory(_blocks(spark, d))
-    names = table(spark, d, "content_chunks").select(F.col("extraction_id").alias("owner")).distinct()
-    asked = names.join(assets.groupBy("owner").agg(F.array_sort(F.collect_set("asset_id")).alias("ids")), "owner").select(F.col("owner").alias("name"), F.concat(F.array(F.lit("missing")), "ids").alias("asset_ids"))
-    return visuals.valid_mapping(asked, assets).select("name", F.array_join("asset_ids", ",").alias("asset_ids"))
+    """The assets that go with each section, an unknown id in front, checked against the inventory."""
+    chosen = visual_candidates(spark, d).groupBy(F.concat_ws("/", "owner", "section_type").alias("name")).agg(F.array_sort(F.collect_list(F.struct("place", "asset_id"))).alias("x"))
+    asked = chosen.select("name", F.concat(F.array(F.lit("missing")), F.transform("x", lambda x: x["asset_id"])).alias("asset_ids"))
+    return visuals.valid_mapping(asked, visuals.inventory(_blocks(spark, d))).select("name", F.array_join("asset_ids", ",").alias("asset_ids"))
 
 
 def section_plan(spark, d):
@@ -145,7 +146,11 @@ def section_contexts(spark, d):
     """The prompt variables of each product, from its pitch sections as features."""
     feature = F.struct(F.coalesce("title", F.lit("")).alias("name"), F.coalesce("content", F.lit("")).alias("description"), F.coalesce("key_points", F.array().cast("array<string>")).alias("benefits"))
     benefit = F.struct(F.coalesce("title", F.lit("")).alias("headline"), F.lit("").alias("description"))
-    rows = _sections(spark, d).groupBy(F.col("product_id").alias("product")).agg(
+    # the first ten of each product, ranked in salted parts first
+    first = _sections(spark, d)
+    for parts in (["product_id", F.pmod("section_id", F.lit(64))], ["product_id"]):
+        first = first.withColumn("n", F.row_number().over(Window.partitionBy(*parts).orderBy("section_id"))).where("n <= 10")
+    rows = first.groupBy(F.col("product_id").alias("product")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("section_id", feature.alias("f")))), lambda x: x["f"]).alias("features"), F.transform(F.array_sort(F.collect_list(F.struct("section_id", benefit.alias("b")))), lambda x: x["b"]).alias("benefits")
     )
     none = F.lit(None).cast("string")
@@ -207,7 +212,10 @@ ORACLE = {
     "visual_inventory": _INV + " SELECT owner, asset_id, asset_type, kind FROM inv",
     "visual_totals": _INV + " SELECT owner, kind, count(*) AS assets FROM inv GROUP BY ALL",
     "image_files": _IMG + r""" SELECT DISTINCT url, substr(md5(url), 1, 12) || CASE WHEN regexp_matches(regexp_replace(url, '[?#].*$', ''), '\.[A-Za-z0-9]{1,5}$') THEN lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '(\.[A-Za-z0-9]{1,5})$', 1)) ELSE '.jpg' END AS file FROM i""",
-    "mapping_validate": _INV + " SELECT owner AS name, string_agg(asset_id, ',' ORDER BY asset_id) AS asset_ids FROM inv WHERE owner IN (SELECT extraction_id FROM content_chunks) GROUP BY owner",
+    "section_contexts": f"""WITH {S}, r AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY section_id) AS n FROM s QUALIFY n <= 10),
+      l AS (SELECT product_id, n, coalesce(title, '') AS name, n || '. ' || coalesce(title, '') || ': ' || coalesce(content, '') || CASE WHEN len(key_points) > 0 THEN chr(10) || '   Benefits: ' || array_to_string(key_points[1:2], ', ') ELSE '' END AS f FROM r)
+      SELECT product_id AS product, 'general business audience' AS target_audience, 'general' AS industry, 'your company' AS company_name, 'common industry challenges' AS pain_points, string_agg(f, chr(10) ORDER BY n) AS features_list,
+        string_agg(n || '. ' || name || ': ', chr(10) ORDER BY n) AS benefits_list, string_agg(name, ', ' ORDER BY n) FILTER (n <= 5) AS key_features FROM l GROUP BY product_id""",
     "section_plan": f"WITH {S} SELECT pitch_id, section_id, section_type FROM s WHERE section_type IS DISTINCT FROM 'pricing'",
     "pitch_markdown": f"""WITH {S}, t AS (SELECT pitch_id, section_order, section_id, '## ' || coalesce(title, '') || chr(10) || chr(10) || coalesce(content, '')
         || CASE WHEN len(key_points) > 0 THEN chr(10) || chr(10) || array_to_string(list_transform(key_points, lambda k: '- ' || coalesce(k, '')), chr(10)) ELSE '' END AS x FROM s)
@@ -227,3 +235,4 @@ ORACLE = {
       SELECT owner, CAST(place AS INT) AS place, name, headline, benefit FROM r WHERE place <= 3""",
     "title_hash_groups": f"SELECT {_hash('title')} AS hash, count(*) AS documents FROM documents WHERE title IS NOT NULL GROUP BY 1",
 }
+ORACLE["mapping_validate"] = f"SELECT owner || '/' || section_type AS name, string_agg(asset_id, ',' ORDER BY place) AS asset_ids FROM ({ORACLE['visual_candidates']}) GROUP BY ALL"

@@ -95,8 +95,8 @@ def page_fingerprints(spark, d):
 
 
 def snapshot_fingerprints(spark, d):
-    pages = table(spark, d, "snapshot_pages").select("extraction_id", F.concat_ws(":", F.coalesce("url", F.lit("")), fp.text_hash(F.col("page_text"))).alias("line")).distinct()
-    return pages.groupBy("extraction_id").agg(fp.snapshot_fingerprint(F.collect_list("line")).alias("fingerprint"))
+    pages = table(spark, d, "snapshot_pages").select("extraction_id", F.concat_ws(":", F.coalesce("url", F.lit("")), fp.text_hash(F.col("page_text"))).alias("line"))
+    return snapshots.snapshot_fingerprints(pages)
 
 
 def block_classes(spark, d):

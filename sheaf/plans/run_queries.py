@@ -33,8 +33,20 @@ def model_answers(spark, d):
     return _answers(spark, d).select(F.col("key").alias("doc_id"), "aspect", "input_tokens", F.when(F.col("aspect") == "features", items).alias("items"))
 
 
+def _echo():
+    """A model for tests of the operator: the prompt's first hundred characters, an error where the prompt's length divides by five."""
+    def ask(prompt: str) -> str:
+        if len(prompt) % 5 == 0:
+            raise ValueError("a length it refuses")
+        return prompt[:100]
+
+    return ask
+
+
 def model_totals(spark, d):
-    return model.run_totals(_answers(spark, d)).withColumnRenamed("key", "doc_id")
+    """Tokens and confidence of runs over three aspects, some of which fail."""
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("key"), "text")
+    return model.run_totals(model.called(model.prompts(texts, ["features", "summary", "name"]), _echo)).withColumnRenamed("key", "doc_id")
 
 
 def prompt_sizes(spark, d):
@@ -45,6 +57,8 @@ def prompt_sizes(spark, d):
 QUERIES = {f.__name__: f for f in (stream_flush, stream_last_hash, model_answers, model_totals, prompt_sizes)}
 
 ORACLE = {
+    "model_totals": """WITH p AS (SELECT doc_id, length(aspect) + 1 + least(length(text), most) AS n FROM documents, (VALUES ('features', 80000), ('summary', 80000), ('name', 2000)) a(aspect, most) WHERE text IS NOT NULL)
+      SELECT doc_id, CAST(sum(n // 4 + CASE WHEN n % 5 = 0 THEN 0 ELSE least(n, 100) // 4 END) AS BIGINT) AS tokens, round(count(*) FILTER (n % 5 <> 0) / count(*), 4) AS confidence, count(*) FILTER (n % 5 <> 0) AS aspects_ok FROM p GROUP BY doc_id""",
     "stream_flush": "SELECT event_type, count(*) AS n, round(sum(value), 2) AS v FROM events GROUP BY event_type",
     "stream_last_hash": _PAGES.split("pages AS (")[0].rstrip().rstrip(",") + """, q AS (SELECT url_key, extracted_at, hash, lag(hash) OVER (PARTITION BY url_key ORDER BY extracted_at, hash) AS before FROM (SELECT DISTINCT url_key, extracted_at, hash FROM keyed))
       SELECT url_key, max_by(hash, struct_pack(a := extracted_at, h := hash)) AS hash, count(*) FILTER (before <> hash) AS changes FROM q GROUP BY url_key""",

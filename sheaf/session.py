@@ -42,13 +42,29 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_kept: set[str] = set()
+
+
+def run_dir(spark: SparkSession) -> str:
+    """The application's own folder in the shared one; it is deleted when the application ends."""
+    folder = os.path.join(shared_dir(spark), f"sheaf-{spark.sparkContext.applicationId}")
+    if folder not in _kept:
+        context = spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _kept.add(folder)
+    return folder
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read back.
+    """df written as Parquet to the application's shared folder and read back.
 
     Cuts the lineage like checkpoint(), but columnar and compressed, and it
-    survives the loss of executors. The files live until the folder is cleaned.
+    survives the loss of executors. The files live until the application ends.
     """
-    path = os.path.join(shared_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(run_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

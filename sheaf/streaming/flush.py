@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.functions.keys import hash_key, url_key
-from sheaf.session import shared_dir
+from sheaf.session import run_dir
 
 
 def run_available(stream: DataFrame, flush: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
@@ -29,7 +29,7 @@ def file_stream(spark: SparkSession, folder: str, name: str, files_per_batch: in
 
 def flushed(spark: SparkSession, stream: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """What each micro-batch makes, appended to a table with its batch number (a retried batch replaces its own folder)."""
-    place = f"{shared_dir(spark)}/flush-{uuid.uuid4().hex}"
+    place = f"{run_dir(spark)}/flush-{uuid.uuid4().hex}"
     run_available(stream, lambda rows, n: make(rows).write.mode("overwrite").parquet(f"{place}/out/batch={n}"), f"{place}/state")
     return spark.read.parquet(f"{place}/out")
 
@@ -41,7 +41,7 @@ def monitored(spark: SparkSession, stream: DataFrame) -> DataFrame:
     batch costs what it touches; changes are counted in the order of times, of equal
     times the larger hash stands last. Rows sent twice change nothing.
     """
-    place = f"{shared_dir(spark)}/monitor-{uuid.uuid4().hex}"
+    place = f"{run_dir(spark)}/monitor-{uuid.uuid4().hex}"
     seen = F.struct("extracted_at", hash_key(F.col("content_hash"), F.col("page_text")).alias("hash"))
     rows = stream.where("url IS NOT NULL").select(url_key(F.col("url")).alias("url_key"), seen.alias("seen")).groupBy("url_key").agg(F.array_sort(F.collect_set("seen")).alias("seen"))
     differs = F.aggregate(F.sequence(F.lit(1), F.size("seen") - 1), F.lit(0).cast("long"), lambda n, i: n + (F.get("seen", i)["hash"] != F.get("seen", i - 1)["hash"]).cast("long"))

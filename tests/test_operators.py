@@ -9,6 +9,20 @@ from sheaf.operators import cache_table as cache
 S = chunking.Sizes(most=60, overlap=8, least=20)
 
 
+def merge_small(chunks: list[tuple[str, list[str]]], s) -> list[tuple[str, list[str]]]:
+    """Chunks (content, headers) of one snapshot within the limits: large ones are cut, small ones join the one before where both fit."""
+    out: list[tuple[str, list[str]]] = []
+    for content, headers in chunks:
+        if len(content) > s.most:
+            out += [(content[a:b].strip(), list(headers)) for a, b in chunking.spans(content, s)]
+        elif len(content) < s.least and out and len(out[-1][0]) + len(content) < s.most:
+            last, before = out[-1]
+            out[-1] = (f"{last}\n\n{content}", [*before, *headers])
+        else:
+            out.append((content, list(headers)))
+    return out
+
+
 def test_chunk_sizes_must_advance():
     with pytest.raises(ValueError):
         chunking.Sizes(most=100, overlap=100, least=50)
@@ -68,7 +82,7 @@ def test_packing_and_hybrid_equal_a_plain_loop(spark):
         got = sorted((x.chunk_index, x.content, list(x.headers)) for x in chunking.packed_chunks(df, S).where(F.col("extraction_id") == e).collect())
         assert [(c, h) for _, c, h in got] == [(c, h) for c, h in chunks]
         both = sorted((x.chunk_index, x.content, list(x.headers)) for x in chunking.hybrid(df, S).where(F.col("extraction_id") == e).collect())
-        assert [(c, h) for _, c, h in both] == chunking.merge_small(chunks, S)
+        assert [(c, h) for _, c, h in both] == merge_small(chunks, S)
 
 
 def test_fixed_and_by_page(spark):
