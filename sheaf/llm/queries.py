@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sheaf.llm import boilerplate, bpe, language, lines, mixing, neardup, pieces, residue
-from sheaf.session import stored
+from sheaf.session import small, stored
 from sheaf.sources.tables import table
 
 
@@ -34,6 +35,19 @@ def p2_pieces(spark, d):
     return _pieces(spark, d)
 
 
+def p2_rejoined(spark, d):
+    """Each oversized item put together again from its pieces, whether all are within the limit, and whether each shares the overlap with the one before."""
+    limits = small(table(spark, d, "size_limits").select("item_kind", F.col("max_chars").alias("most"), F.col("overlap_chars").alias("shared")))
+    w = Window.partitionBy("item_kind", "item_id").orderBy("piece_no")
+    rows = _pieces(spark, d).join(limits, "item_kind").withColumn("before", F.lag("piece").over(w))
+    rest = F.when(F.col("piece_no") == 0, F.col("piece")).otherwise(F.expr("substring(piece, shared + 1)"))
+    shares = F.coalesce(F.expr("right(before, shared) = left(piece, shared)"), F.lit(True))
+    made = rows.groupBy("item_kind", "item_id").agg(
+        F.array_sort(F.collect_list(F.struct("piece_no", rest.alias("t")))).alias("x"), F.bool_and(F.length("piece") <= F.col("most")).alias("within"), F.bool_and(shares).alias("shares")
+    )
+    return made.select("item_kind", "item_id", F.array_join(F.transform("x", lambda x: x["t"]), "").alias("text"), "within", "shares")
+
+
 def p3_found(spark, d):
     bodies = boilerplate.judged_blocks(table(spark, d, "content_blocks"))
     cases = residue.residue_records(residue.block_records(table(spark, d, "content_blocks")))
@@ -132,6 +146,7 @@ QUERIES = {
     "p1_kinds": p1_kinds,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
+    "p2_rejoined": p2_rejoined,
     "p3_found": p3_found,
     "p3_bodies": p3_bodies,
     "p6_found": p6_found,
@@ -150,6 +165,9 @@ QUERIES = {
 ORACLE = {
     "p7_found": _P7 + "SELECT a AS block_a, b AS block_b FROM l UNION ALL SELECT rep, block_id FROM k WHERE block_id <> rep",
     "p7_classes": _P7 + "SELECT block_id, rep AS class_id, (SELECT count(*) FROM l WHERE a = rep OR b = rep) AS links FROM k",
+    "p2_rejoined": """
+      SELECT DISTINCT item_kind, block_id AS item_id, text, true AS within, true AS shares FROM content_blocks, size_limits WHERE item_kind = 'content_blocks' AND length(text) > max_chars
+      UNION ALL SELECT DISTINCT item_kind, chunk_id, content, true, true FROM content_chunks, size_limits WHERE item_kind = 'content_chunks' AND length(content) > max_chars""",
     "p2_found": """
       SELECT DISTINCT item_kind, block_id AS item_id FROM content_blocks, size_limits WHERE item_kind = 'content_blocks' AND length(text) > max_chars
       UNION ALL SELECT DISTINCT item_kind, chunk_id FROM content_chunks, size_limits WHERE item_kind = 'content_chunks' AND length(content) > max_chars""",
