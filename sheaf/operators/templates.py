@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheaf.session import small
+
 # The marks of variables, conditions and loops.
 _MARK = re.compile(r"\{\{(?:(?P<open>#if|#each)\s+(?P<of>\w+)|(?P<close>/if|/each)|(?P<name>\w+)|item\.(?P<field>[^{}]+))\}\}")
 
@@ -165,3 +167,35 @@ def history(registrations: DataFrame) -> DataFrame:
 def current(registrations: DataFrame) -> DataFrame:
     """The current registration of each name; combined map-side."""
     return registrations.groupBy("name").agg(F.max_by("template", "seq").alias("template"), F.max("seq").alias("seq"))
+
+
+def by_tag(templates: DataFrame, tag: str) -> DataFrame:
+    """Names of the templates (name, version, tags) that have a tag in their current version."""
+    current_tags = templates.groupBy("name").agg(F.max_by("tags", "version").alias("tags"))
+    return current_tags.where(F.array_contains("tags", tag)).select("name")
+
+
+def version_of(templates: DataFrame, name: str, version: int | None = None) -> DataFrame:
+    """The row of a template in a version, the newest without one; no row if there is none."""
+    rows = templates.where(F.col("name") == name)
+    return rows.where(F.col("version") == version) if version is not None else rows.orderBy(F.col("version").desc()).limit(1)
+
+
+def completed(defaults: Column, given: Column) -> Column:
+    """Variables with their defaults: a map of both in which what is given wins."""
+    return F.map_concat(F.map_filter(defaults, lambda k, _: ~F.coalesce(F.map_contains_key(given, k), F.lit(False))), F.coalesce(given, F.create_map().cast("map<string,string>")))
+
+
+def filled(rows: DataFrame, dimensions: DataFrame, on: str) -> DataFrame:
+    """Rows (key, on, values as map) with the template of their kind: key, text, error.
+
+    dimensions (on, template) is the caller's, small; "{field}" in a template stands for a
+    value. A row whose template lacks a value fails with the names of all that are
+    missing; one without template fails, too.
+    """
+    known = rows.join(small(dimensions.select(on, "template")), on, "left")
+    fields = F.array_distinct(F.regexp_extract_all("template", F.lit(r"\{(\w+)\}"), F.lit(1)))
+    lacking = F.filter(fields, lambda f: F.element_at("values", f).isNull())
+    text = F.aggregate(fields, F.col("template"), lambda t, f: F.replace(t, F.concat(F.lit("{"), f, F.lit("}")), F.coalesce(F.element_at("values", f), F.lit(""))))
+    error = F.when(F.col("template").isNull(), "no template").when(F.size(lacking) > 0, F.concat(F.lit("missing: "), F.array_join(F.array_sort(lacking), ", ")))
+    return known.select("key", F.when(error.isNull(), text).alias("text"), error.alias("error"))

@@ -119,6 +119,20 @@ def templates_rendered(spark, d):
     return templates.rendered(rows.withColumn("template", F.lit(template)), "doc_id", strict=False)
 
 
+#: Templates of some section types, as a caller would give them.
+SECTION_TEMPLATES = [("hook", "Open with {title}, {minutes} minutes."), ("features", "{title} ({style}): name {points} points."), ("cta", "Close: {title}")]
+STYLES = ("formal", "plain")
+
+
+def sections_filled(spark, d):
+    """Each section's prompt from the template of its type; the style is a default that some sections override."""
+    text = lambda c: F.col(c).cast("string")
+    given = F.create_map(F.lit("title"), text("title"), F.lit("minutes"), F.floor(F.col("duration_seconds") / 60).cast("string"), F.lit("points"), F.when(F.size("key_points") > 0, F.size("key_points")).cast("string"))
+    given = F.when(F.col("section_id") % 2 == 0, F.map_concat(given, F.create_map(F.lit("style"), F.lit(STYLES[0])))).otherwise(given)
+    rows = _sections(spark, d).select(F.col("section_id").alias("key"), "section_type", templates.completed(F.create_map(F.lit("style"), F.lit(STYLES[1])), given).alias("values"))
+    return templates.filled(rows, spark.createDataFrame(SECTION_TEMPLATES, "section_type string, template string"), "section_type").withColumnRenamed("key", "section_id")
+
+
 def html_blocks(spark, d):
     """Blocks parsed back from the html of blocks."""
     pages = _blocks(spark, d).where("html IS NOT NULL").select(F.col("block_id").alias("page_id"), "html")
@@ -164,7 +178,7 @@ def feature_highlights(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     snapshot_diff, snapshot_diff_counts, first_snapshots, visual_inventory, visual_totals, visual_candidates, image_files, mapping_validate, section_plan, pitch_markdown, pitch_text, pitch_totals, pitch_outline,
-    pitch_slides, pitch_contents, assets_by_ids, pitch_calls, short_titles, template_history, template_variables, templates_rendered, html_blocks, title_hash_groups, site_analysis, html_structure, section_contexts, feature_highlights,
+    pitch_slides, pitch_contents, assets_by_ids, pitch_calls, short_titles, template_history, template_variables, templates_rendered, sections_filled, html_blocks, title_hash_groups, site_analysis, html_structure, section_contexts, feature_highlights,
 )}
 
 from sheaf.plans.data_queries import _PAGES  # noqa: E402
@@ -212,6 +226,14 @@ ORACLE = {
     "visual_inventory": _INV + " SELECT owner, asset_id, asset_type, kind FROM inv",
     "visual_totals": _INV + " SELECT owner, kind, count(*) AS assets FROM inv GROUP BY ALL",
     "image_files": _IMG + r""" SELECT DISTINCT url, substr(md5(url), 1, 12) || CASE WHEN regexp_matches(regexp_replace(url, '[?#].*$', ''), '\.[A-Za-z0-9]{1,5}$') THEN lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '(\.[A-Za-z0-9]{1,5})$', 1)) ELSE '.jpg' END AS file FROM i""",
+    "templates_rendered": """WITH w AS (SELECT doc_id, title, source, string_split(coalesce(title, ''), ' ')[1:3] AS w FROM documents),
+      t AS (SELECT doc_id, CASE WHEN title <> '' THEN '# ' || title ELSE '' END || chr(10) || chr(10) || array_to_string(list_transform(w, lambda x, i: trim((i - 1) || '. ' || x)), chr(10)) || chr(10) || 'Source: ' || coalesce(source, 'none') AS t FROM w)
+      SELECT doc_id, regexp_replace(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text, CAST(NULL AS VARCHAR) AS error FROM t""",
+    "sections_filled": f"""WITH {S}, v AS (SELECT section_id, section_type, title, CAST(duration_seconds // 60 AS VARCHAR) AS minutes, CASE WHEN len(key_points) > 0 THEN CAST(len(key_points) AS VARCHAR) END AS points, CASE WHEN section_id % 2 = 0 THEN 'formal' ELSE 'plain' END AS style FROM s),
+      x AS (SELECT section_id, CASE section_type WHEN 'hook' THEN 'Open with ' || title || ', ' || minutes || ' minutes.' WHEN 'features' THEN title || ' (' || style || '): name ' || points || ' points.' WHEN 'cta' THEN 'Close: ' || title END AS text,
+        CASE section_type WHEN 'hook' THEN concat_ws(', ', CASE WHEN minutes IS NULL THEN 'minutes' END, CASE WHEN title IS NULL THEN 'title' END)
+          WHEN 'features' THEN concat_ws(', ', CASE WHEN points IS NULL THEN 'points' END, CASE WHEN title IS NULL THEN 'title' END) WHEN 'cta' THEN CASE WHEN title IS NULL THEN 'title' ELSE '' END END AS m FROM v)
+      SELECT section_id, text, CASE WHEN m IS NULL THEN 'no template' WHEN m <> '' THEN 'missing: ' || m END AS error FROM x""",
     "section_contexts": f"""WITH {S}, r AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY section_id) AS n FROM s QUALIFY n <= 10),
       l AS (SELECT product_id, n, coalesce(title, '') AS name, n || '. ' || coalesce(title, '') || ': ' || coalesce(content, '') || CASE WHEN len(key_points) > 0 THEN chr(10) || '   Benefits: ' || array_to_string(key_points[1:2], ', ') ELSE '' END AS f FROM r)
       SELECT product_id AS product, 'general business audience' AS target_audience, 'general' AS industry, 'your company' AS company_name, 'common industry challenges' AS pain_points, string_agg(f, chr(10) ORDER BY n) AS features_list,

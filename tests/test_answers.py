@@ -4,7 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from sheaf.functions import parsing
-from sheaf.operators import assembly, chunking, model, snapshots, statistics, visuals
+from sheaf.operators import assembly, chunking, model, snapshots, statistics, templates, visuals
 from sheaf.session import run_dir, small
 
 
@@ -101,3 +101,14 @@ def test_broadcasts_are_measured_in_bytes(spark):
     hinted = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString().lower()
     assert hinted(small(rows)) and not hinted(small(rows, 500))
     assert run_dir(spark) == run_dir(spark)
+
+
+def test_templates_by_tag_version_and_kind(spark):
+    dims = spark.createDataFrame([("a", 1, ["x"], "old"), ("a", 2, ["y"], "new"), ("b", 1, None, "only")], "name string, version int, tags array<string>, template string")
+    assert [r.name for r in templates.by_tag(dims, "y").collect()] == ["a"] and templates.by_tag(dims, "x").count() == 0
+    assert templates.version_of(dims, "a").first().template == "new" and templates.version_of(dims, "a", 1).first().template == "old" and templates.version_of(dims, "c").count() == 0
+    rows = spark.createDataFrame([(1, "k", {"p": "P", "q": "Q"}), (2, "k", {"p": None}), (3, "none", {}), (4, None, None), (5, "plain", None)], "key long, kind string, values map<string,string>")
+    got = {r.key: (r.text, r.error) for r in templates.filled(rows, spark.createDataFrame([("k", "{p} and {q} and {p}"), ("plain", "text")], "kind string, template string"), "kind").collect()}
+    assert got == {1: ("P and Q and P", None), 2: (None, "missing: p, q"), 3: (None, "no template"), 4: (None, "no template"), 5: ("text", None)}
+    both = spark.range(1).select(templates.completed(F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2")), F.create_map(F.lit("b"), F.lit("3"))).alias("m"), templates.completed(F.create_map(F.lit("a"), F.lit("1")), F.lit(None).cast("map<string,string>")).alias("n")).first()
+    assert both.m == {"a": "1", "b": "3"} and both.n == {"a": "1"}
