@@ -228,7 +228,7 @@ ORACLE = {
     "image_files": _IMG + r""" SELECT DISTINCT url, substr(md5(url), 1, 12) || CASE WHEN regexp_matches(regexp_replace(url, '[?#].*$', ''), '\.[A-Za-z0-9]{1,5}$') THEN lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '(\.[A-Za-z0-9]{1,5})$', 1)) ELSE '.jpg' END AS file FROM i""",
     "templates_rendered": """WITH w AS (SELECT doc_id, title, source, string_split(coalesce(title, ''), ' ')[1:3] AS w FROM documents),
       t AS (SELECT doc_id, CASE WHEN title <> '' THEN '# ' || title ELSE '' END || chr(10) || chr(10) || array_to_string(list_transform(w, lambda x, i: trim((i - 1) || '. ' || x)), chr(10)) || chr(10) || 'Source: ' || coalesce(source, 'none') AS t FROM w)
-      SELECT doc_id, regexp_replace(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text, CAST(NULL AS VARCHAR) AS error FROM t""",
+      SELECT doc_id, regexp_replace(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS text, CAST(NULL AS VARCHAR) AS error FROM t""",
     "sections_filled": f"""WITH {S}, v AS (SELECT section_id, section_type, title, CAST(duration_seconds // 60 AS VARCHAR) AS minutes, CASE WHEN len(key_points) > 0 THEN CAST(len(key_points) AS VARCHAR) END AS points, CASE WHEN section_id % 2 = 0 THEN 'formal' ELSE 'plain' END AS style FROM s),
       x AS (SELECT section_id, CASE section_type WHEN 'hook' THEN 'Open with ' || title || ', ' || minutes || ' minutes.' WHEN 'features' THEN title || ' (' || style || '): name ' || points || ' points.' WHEN 'cta' THEN 'Close: ' || title END AS text,
         CASE section_type WHEN 'hook' THEN concat_ws(', ', CASE WHEN minutes IS NULL THEN 'minutes' END, CASE WHEN title IS NULL THEN 'title' END)
