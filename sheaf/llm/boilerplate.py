@@ -35,8 +35,10 @@ NEIGHBOURS = 8
 LEAST_SHARED = 2
 #: Pages that are aligned together; at least NEIGHBOURS.
 STRETCH = 512
-#: A wording is learned if it recurs on LEAST_PAGES pages of LEAST_HOSTS hosts, or is deleted on LEAST_HOSTS hosts.
-LEAST_PAGES, LEAST_HOSTS = 3, 2
+#: A wording is learned if it recurs on LEAST_PAGES pages of enough hosts, or is deleted on enough hosts: LEAST_HOSTS and HOST_SHARE of all.
+LEAST_PAGES, LEAST_HOSTS, HOST_SHARE = 3, 2, 0.002
+#: Share of the hosts with a line above labels that must have it deleted somewhere for it to head a box of links.
+BOX_SHARE = 0.05
 #: Words of a label (link text, menu item), items of a link path or menu, and lines of a list of labels.
 LABEL_WORDS, SLOT_ITEMS, LIST_LINES = 8, 3, 4
 
@@ -241,7 +243,7 @@ def _judged(page_id: int, page: _Page, pages_of: dict, deleted_of: set, out: lis
     for b, (start, end) in zip(page.blocks, page.spans):
         shares, flags = page.shared[start:end], np.frombuffer(b["flags"], np.uint32).tolist()
         if not shares or b["heading"] and len(shares) == 1:  # titles repeat on a site without being furniture
-            out.append((b["block_id"], page_id, False, [], [], []))
+            out.append((b["block_id"], page_id, False, [], [], [], page.site))
             continue
         need = 1 if len(shares) >= LIST_LINES and all(f & LABEL for f in flags) else need0
         parts, at, part, mark = np.frombuffer(b["parts"], np.int64).tolist(), 0, [], []
@@ -258,7 +260,7 @@ def _judged(page_id: int, page: _Page, pages_of: dict, deleted_of: set, out: lis
                 part += known
                 mark += [bits] * len(known)
         left = any(m & LEFT for m in mark)
-        out.append((b["block_id"], page_id, None if left else True, [n for n, s in enumerate(shares) if s >= need0], part if left else [], mark if left else []))
+        out.append((b["block_id"], page_id, None if left else True, [n for n, s in enumerate(shares) if s >= need0], part if left else [], mark if left else [], page.site))
     for p in own:
         pages_of[page.site, p] = pages_of.get((page.site, p), 0) + 1
 
@@ -292,7 +294,7 @@ def _aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return rows
 
     def frame(out: list, rows: list) -> pd.DataFrame:
-        return pd.DataFrame([(*o, None, None, None, None) for o in out] + [(None, None, None, None, None, None, *r) for r in rows], columns=_COLUMNS, dtype=object)
+        return pd.DataFrame([(*o, None, None, None) for o in out] + [(None, None, None, None, None, None, *r) for r in rows], columns=_COLUMNS, dtype=object)
 
     for batch in batches:
         out: list = []
@@ -360,12 +362,17 @@ def judged_blocks(blocks: DataFrame) -> DataFrame:
     aligned = stored(rows.select("stretch", "site", "page_id", "core", "blocks").mapInPandas(_aligned, _ALIGNED), "aligned")
     by_site = aligned.where("block_id IS NULL").groupBy("wording", "site").agg(F.sum("pages").alias("pages"), F.max("deleted").alias("deleted"))
     counts = by_site.groupBy("wording").agg(F.count_if(F.col("pages") >= LEAST_PAGES).alias("n"), F.count_if("deleted").alias("d"))
-    learned = stored(counts.where((F.col("n") >= LEAST_HOSTS) | (F.col("d") >= LEAST_HOSTS)).select("wording", (F.col("d") >= LEAST_HOSTS).alias("box")), "wordings")
+    enough = max(LEAST_HOSTS, HOST_SHARE * aligned.where("block_id IS NOT NULL").select("site").distinct().count())
+    learned = stored(counts.where((F.col("n") >= enough) | (F.col("d") >= enough)).select("wording", F.when(F.col("d") >= enough, F.col("d")).alias("d")), "wordings")
     done = aligned.where("block_id IS NOT NULL")
-    open_parts = done.where("furniture IS NULL").select("block_id", F.explode(F.arrays_zip("part", "mark")).alias("x")).select("block_id", F.col("x.part").alias("wording"), F.col("x.mark").alias("mark"))
-    known = open_parts.join(small(learned), "wording", "left")
+    open_parts = done.where("furniture IS NULL").select("block_id", "site", F.explode(F.arrays_zip("part", "mark")).alias("x")).select("block_id", "site", F.col("x.part").alias("wording"), F.col("x.mark").alias("mark"))
+    known = open_parts.join(small(learned.withColumn("_learned", F.lit(True))), "wording", "left")
     bit = lambda b: F.col("mark").bitwiseAND(b) != 0
-    strange = F.col("box").isNull() & bit(LEFT)
+    # the first line of a box of links: of the hosts that have it, enough have it deleted
+    heads = known.where(bit(FIRST) & F.col("d").isNotNull()).groupBy("wording", "d").agg(F.countDistinct("site").alias("hosts"))
+    boxes = stored(heads.where(F.col("d") >= BOX_SHARE * F.col("hosts")).select("wording", F.lit(True).alias("box")), "boxes")
+    known = known.join(small(boxes), "wording", "left")
+    strange = F.col("_learned").isNull() & bit(LEFT)
     verdict = known.groupBy("block_id").agg(
         F.count_if(strange).alias("strange"), F.count_if(strange & ~bit(IN_LABEL)).alias("prose"), F.count_if(bit(FIRST) & ~F.coalesce("box", F.lit(False))).alias("odd"), F.count_if(~bit(FIRST)).alias("more")
     )
