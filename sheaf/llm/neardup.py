@@ -1,22 +1,20 @@
-"""Near-duplicate texts by SetSketch registers.
+"""Near-duplicate texts: all pairs of sets of word runs with at least a given similarity.
 
 Equal texts form one class with the least id as representative. Texts become
 sets of hashed word runs; of different texts with equal sets only one is
-sketched, the others get its links in the end. A set is sketched: register i
-holds the truncated, exponentially spaced minimum of its i-th hash, so sketches
-of unions merge by maximum and equal registers tell similar sets. Bands of
-register values are grouped; texts that share a band are candidates. The joint
-likelihood of two sketches under their exact cardinalities drops most of them,
-and what is left is verified on the whole sets.
-
-Whole sets are sketched, nothing is left out of them, so the probability that a
-pair shares a band depends on its similarity alone: it is at least 1 - miss at
-the threshold and grows above. A band that more than `hot` texts share is split
-by SPLITS bands of further, independent registers, which parts texts that only hold the
-same stock phrases (a pair at 0.5 all of whose bands are hot is missed with 0.0013
-instead of 0.0005); texts that agree even then share eight registers and more, so most of
-their pairs are links, and a join that AQE splits makes them. A band is passed on
-as a stream of (band, id) rows, its texts are never held together.
+joined, the others get its links in the end.
+
+The join is exact. The runs of each set are put in one order for all sets, rare runs
+first; two sets that are similar enough share a run among the first of both (prefix
+filter), and the first run they share leaves enough of both sets behind it (positional
+filter). Each text is placed under its first runs with a bitmap of its whole set, that
+is the parity of the runs in each of 256 slots: bits that differ are no more than the
+runs that differ, so the bitmaps drop pairs, but no link. What is left is verified on the
+whole sets. The order of runs decides the cost only, never the result.
+
+The texts under a run are passed on as a stream. Up to `hot` of them are paired at once;
+more come out as they are, and a join by run and size, which AQE splits, pairs them by
+the same rules.
 """
 
 from __future__ import annotations
@@ -25,59 +23,43 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.session import small, stored
 
-#: Bands of further registers by which a hot band is split.
-SPLITS = 32
+#: Runs of several texts that are ordered by their numbers of texts (the most frequent); all others stand before them, ordered by hash.
+ORDERED = 2**20
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Words of a run, least words of a text, least similarity, and the sketch.
+    """Words of a run, least words of a text, least similarity.
 
-    miss: probability that a pair at the threshold shares no band. Bands have as many
-    registers as most_bands bands allow. base and rate are SetSketch's b and a; the
-    estimate uses the first `estimated` registers and keeps what is not `sure`
-    standard errors under the threshold.
+    hot: texts under one run that are paired in one task at most. base and rate are
+    SetSketch's b and a.
     """
 
     run: int = 5
     least_words: int = 5
     similarity: float = 0.8
-    miss: float = 0.0005
-    most_bands: int = 120
     base: float = 1.001
     rate: float = 20.0
-    estimated: int = 64
-    sure: float = 5.0
     hot: int = 200
 
     def __post_init__(self) -> None:
         if not 0 < self.similarity <= 1:
             raise ValueError("similarity lies above 0, up to 1")
 
-    def _bands(self, rows: int) -> int:
-        met = self.similarity**rows
-        return 1 if met >= 1 - self.miss else math.ceil(math.log(self.miss) / math.log1p(-met))
-
-    @property
-    def rows(self) -> int:
-        """Registers of a band."""
-        return max((r for r in range(1, 17) if self._bands(r) <= self.most_bands), default=1)
-
     @property
-    def bands(self) -> int:
-        return max(self._bands(self.rows), math.ceil(self.estimated / self.rows))
-
-    @property
-    def least_estimate(self) -> float:
-        return max(0.0, self.similarity - self.sure * math.sqrt(self.similarity * (1 - self.similarity) / self.estimated))
+    def shared(self) -> float:
+        """Share of the sum of two sizes that both sets must have in common."""
+        return self.similarity / (1 + self.similarity)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -182,14 +164,15 @@ def _survey(s: Settings):
     return run
 
 
-#: Elements hashed at once, so that they stay in the processor's cache.
+#: Elements hashed at once, so that they stay in the processor's cache, and registers of a sketch.
 BLOCK = 32_768
+REGISTERS = 472
 
 
-def registers(flat: np.ndarray, starts: np.ndarray, s: Settings, m: int | None = None, level: int = 0) -> np.ndarray:
-    """SetSketch registers (uint16) of non-empty sets that lie one after the other, one row each; all or the first m. Each level has its own hashes."""
-    m, n = m or s.bands * s.rows, len(starts)
-    factors = np.random.default_rng([level + 1, 20240501]).integers(0, 2**31, s.bands * s.rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+def registers(flat: np.ndarray, starts: np.ndarray, s: Settings, m: int = REGISTERS) -> np.ndarray:
+    """SetSketch registers (uint16) of non-empty sets that lie one after the other, one row each. They merge by maximum; the join of near-duplicates doesn't use them."""
+    n = len(starts)
+    factors = np.random.default_rng([1, 20240501]).integers(0, 2**31, m, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
     x = (flat >> np.uint64(KEPT_BITS - 32)).astype(np.uint32)
     ends = np.append(starts, len(x))
     low = np.empty((m, n), np.uint32)
@@ -206,37 +189,6 @@ def registers(flat: np.ndarray, starts: np.ndarray, s: Settings, m: int | None =
     return np.clip(np.floor(1 - np.log(value) / np.log(s.base)), 0, 2**16 - 1).astype(np.uint16)
 
 
-def band_keys(r: np.ndarray, s: Settings) -> np.ndarray:
-    """Keys (int64) of the bands of registers: the band's number above 48 hashed bits; one row per text."""
-    r = r.reshape(len(r), s.bands, s.rows).astype(np.uint64)
-    key = np.zeros(r.shape[:2], np.uint64)
-    for i in range(s.rows):
-        key = _mixed((key + np.uint64(0x9E3779B97F4A7C15)) ^ r[:, :, i])
-    return ((key >> np.uint64(17)) | (np.arange(s.bands, dtype=np.uint64) << np.uint64(47))).view(np.int64)
-
-
-def _sketch(s: Settings, what: str, level: int = 0):
-    """Sketches of texts: "bands" gives rows (id, band), "keys" (id, all bands in one row), "head" (id, size, first registers)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in _parts(batches):
-            which, x, starts = sets_of(rows["text"].tolist(), s)
-            if not which:
-                continue
-            ids = rows["id"].to_numpy()[which]
-            if what == "head":
-                r = registers(x, starts[:-1], s, s.estimated)
-                yield pd.DataFrame({"id": ids, "size": np.diff(starts).astype(np.int32), "r": [v.tobytes() for v in r]})
-                continue
-            keys = band_keys(registers(x, starts[:-1], s, level=level), s)
-            if what == "bands":
-                yield pd.DataFrame({"id": np.repeat(ids, s.bands), "band": keys.ravel()})
-            else:
-                yield pd.DataFrame({"id": ids, "keys": list(keys)})
-
-    return run
-
-
 def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, base: float) -> np.ndarray:
     """Maximum likelihood similarity of pairs from registers (rows) and exact set sizes, on a grid of 1/100."""
     more, less = (a > b).sum(1), (a < b).sum(1)
@@ -252,17 +204,6 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, base:
     return out
 
 
-def _likely(s: Settings):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            if len(p):
-                a, b = (np.frombuffer(b"".join(p[c]), np.uint16).reshape(len(p), -1) for c in ("ra", "rb"))
-                j = estimate(a, b, p["na"].to_numpy(float), p["nb"].to_numpy(float), s.base)
-                yield p.loc[j >= s.least_estimate, ["a", "b"]]
-
-    return run
-
-
 def _sets(s: Settings):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in _parts(batches):
@@ -288,85 +229,151 @@ def _verify(s: Settings):
     return run
 
 
-def _pairs(s: Settings):
-    """Pairs of texts in one band from rows sorted by band and id; a band of more than s.hot texts comes out as it is."""
+def _counted(s: Settings):
+    """Runs and their numbers of texts, added up within parts of batches."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[int] = []  # the texts so far of the last band, while it isn't hot
-        last, hot = None, False
+        for rows in _parts(batches):
+            x, n = np.unique(sets_of(rows["text"].tolist(), s)[1], return_counts=True)
+            yield pd.DataFrame({"run": x.view(np.int64), "n": n})
 
-        def closed(ids: list[int]) -> tuple[list, list]:
-            return [x for i, x in enumerate(ids) for _ in ids[i + 1 :]], [y for i in range(len(ids)) for y in ids[i + 1 :]]
+    return run
+
+
+def order_of(texts: DataFrame, s: Settings) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The ORDERED most frequent runs, sorted, the place of each (from 1), and whether no other run has several texts."""
+    counts = stored(texts.mapInPandas(_counted(s), "run long, n long").groupBy("run").agg(F.sum("n").alias("n")).where("n > 1"), "runs")
+    total, least = 0, None
+    sizes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("of")).orderBy(F.desc("n")).collect()
+    for size in sizes:
+        total += size["of"]
+        if total > ORDERED:
+            break
+        least = size["n"]
+    if least is None:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), not sizes
+    rows = counts.where(F.col("n") >= least).toArrow()
+    run, n = rows.column("run").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+    place = np.empty(len(run), np.int64)
+    place[np.lexsort((run, n))] = np.arange(1, len(run) + 1)
+    o = np.argsort(run)
+    return run[o], place[o], total <= ORDERED
+
+
+#: Columns of a bitmap of 256 bits.
+BITS = ["b0", "b1", "b2", "b3"]
+
+
+def bitmaps(x: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
+    """Bitmaps of non-empty sets that lie one after the other: a bit is the parity of the set's runs in its slot."""
+    slot = _mixed(x ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(56)
+    bit = np.uint64(1) << (slot & np.uint64(63))
+    return {c: np.bitwise_xor.reduceat(np.where(slot >> np.uint64(6) == i, bit, np.uint64(0)), starts).view(np.int64) for i, c in enumerate(BITS)}
 
-        for x in batches:
-            if not len(x):
+
+#: Slack of sums of floats; it lets through more, never less.
+SLACK = 1e-6
+
+_PLACED = "run long, id long, n long, most long, " + ", ".join(f"{c} long" for c in BITS)
+
+
+def _placed(s: Settings, order: Broadcast):
+    """Texts under their first runs: size, the largest size of a partner whose first shared run this may be, and bitmap."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ordered, places, whole = order.value
+        for rows in _parts(batches):
+            which, x, starts = sets_of(rows["text"].tolist(), s)
+            if not which:
+                continue
+            own = {"id": rows["id"].to_numpy()[which], "n": np.diff(starts), **bitmaps(x, starts[:-1])}
+            owner = np.repeat(np.arange(len(which)), own["n"])
+            place = np.zeros(len(x), np.int64)
+            if len(ordered):
+                at = np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)
+                place = np.where(ordered[at] == x, places[at], 0)
+            o = np.argsort((owner << 21) | place, kind="stable")
+            n = own["n"][owner]
+            left = n - (np.arange(len(x)) - starts[owner])
+            most = np.floor(left / s.shared + SLACK).astype(np.int64) - n
+            first = most >= np.ceil(s.similarity * n - SLACK)
+            if whole:  # a run of one text only pairs nothing
+                first &= place[o] > 0
+            owner = owner[first]
+            yield pd.DataFrame({"run": x[o][first].view(np.int64), "most": most[first], **{c: v[owner] for c, v in own.items()}})
+
+    return run
+
+
+def _pairs(s: Settings):
+    """Pairs of texts under one run from rows sorted by run, size and id; more than s.hot texts of a run come out as they are (a the id, b the run)."""
+    names = ["run", "id", "n", "most", *BITS]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, np.ndarray] | None = None  # the rows so far of the last run, while it isn't hot
+        hot = None
+        for batch in chain(batches, [None]):
+            if batch is not None and not len(batch):
+                continue
+            x = held
+            if batch is not None:
+                new = {c: batch[c].to_numpy() for c in names}
+                x = {c: np.concatenate([held[c], new[c]]) for c in names} if held else new
+            if x is None:
                 continue
-            band, ids = x["band"].to_numpy(), x["id"].to_numpy()
-            new = np.empty(len(x), bool)
-            new[0] = last is None or band[0] != last
-            new[1:] = band[1:] != band[:-1]
-            again = ~new
-            again[1:] &= ids[1:] != ids[:-1]  # rows sent twice
-            starts = np.flatnonzero(new)
-            ends = np.append(starts[1:], len(x))
-            a, b, texts, bands = [], [], [], []
-            head = int(starts[0]) if len(starts) else len(x)
-            if head:  # rows that go on with the band of the batch before
-                more = [int(i) for i in dict.fromkeys(ids[:head].tolist()) if not held or i != held[-1]]
-                if hot or len(held) + len(more) > s.hot:
-                    texts += ([] if hot else held) + more
-                    bands += [last] * (len(texts))
-                    hot, held = True, more[-1:] or held[-1:]
-                else:
-                    held += more
-            if len(starts):
-                if held and not hot:
-                    p, q = closed(held)
-                    a += p
-                    b += q
-                many = (ends - starts > 1) & (ends < len(x))
-                for st, en in zip(starts[many].tolist(), ends[many].tolist()):
-                    own = list(dict.fromkeys(ids[st:en].tolist()))
-                    if len(own) > s.hot:
-                        texts += own
-                        bands += [int(band[st])] * len(own)
-                    elif len(own) > 1:
-                        p, q = closed(own)
-                        a += p
-                        b += q
-                held, hot = list(dict.fromkeys(ids[starts[-1] :].tolist())), False
-                if len(held) > s.hot:
-                    texts += held
-                    bands += [int(band[-1])] * len(held)
-                    hot, held = True, held[-1:]
-            last = int(band[-1])
-            out = pd.DataFrame({"a": a + texts, "b": b + [None] * len(texts), "band": [None] * len(a) + bands}, dtype="Int64")
-            yield out
-        if held and not hot:
-            p, q = closed(held)
-            yield pd.DataFrame({"a": p, "b": q, "band": [None] * len(p)}, dtype="Int64")
+            again = np.zeros(len(x["run"]), bool)  # rows sent twice
+            again[1:] = (x["run"][1:] == x["run"][:-1]) & (x["id"][1:] == x["id"][:-1])
+            if again.any():
+                x = {c: v[~again] for c, v in x.items()}
+            runs = x["run"]
+            starts = np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1]]))
+            ends = np.append(starts[1:], len(runs))
+            many = ends - starts > s.hot
+            many[0] |= hot is not None and runs[0] == hot
+            hot, held = (runs[-1] if many[-1] else None), None
+            if batch is not None and not many[-1]:
+                held = {c: v[starts[-1] :] for c, v in x.items()}
+                starts, ends, many = starts[:-1], ends[:-1], many[:-1]
+            end, whole = np.repeat(ends, ends - starts), np.repeat(~many, ends - starts)
+            n, most = x["n"], x["most"]
+            i, d, a, b = np.flatnonzero(whole), 1, [], []
+            while len(i := i[i + d < end[i]]) and len(i := i[n[i + d] <= most[i]]):  # sizes ascend, so what is too large stays so
+                j = i + d
+                met = n[i] <= most[j]
+                p, q = i[met], j[met]
+                apart = sum(np.bitwise_count((x[c][p] ^ x[c][q]).view(np.uint64)).astype(np.int64) for c in BITS)
+                near = apart <= n[p] + n[q] - 2 * np.ceil((n[p] + n[q]) * s.shared - SLACK)
+                a.append(x["id"][p[near]])
+                b.append(x["id"][q[near]])
+                d += 1
+            a, b = (np.concatenate([np.empty(0, np.int64), *v]) for v in (a, b))
+            yield pd.DataFrame({"hot": False, "a": np.minimum(a, b), "b": np.maximum(a, b), **{c: 0 for c in names[2:]}})
+            k = np.flatnonzero(~whole)
+            if len(k):
+                yield pd.DataFrame({"hot": True, "a": x["id"][k], "b": runs[k], **{c: x[c][k] for c in names[2:]}})
 
     return run
 
 
-def _grouped(placed: DataFrame, s: Settings, name: str) -> DataFrame:
-    """Pairs (a, b) of texts in one band, and the texts (a, band) of hot ones, from rows (id, band)."""
-    return stored(placed.repartition("band").sortWithinPartitions("band", "id").mapInPandas(_pairs(s), "a long, b long, band long"), name)
+def _step(size: str) -> Column:
+    """Sizes in steps of a tenth, so that a join by run looks only where partners can be."""
+    return F.floor(F.log(F.col(size).cast("double")) / math.log(1.1))
 
 
-def candidates(placed: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
-    """Distinct pairs a < b that share a band, from rows (id, band); texts are read again for hot bands only."""
-    raw = _grouped(placed, s, "bands")
-    pairs, hot = raw.where("band IS NULL").select("a", "b"), raw.where("band IS NOT NULL").select("band", F.col("a").alias("id"))
-    if not hot.isEmpty():
-        ids = stored(hot.select("id").distinct(), "hot")
-        held = texts.join(small(ids), "id", "left_semi").dropDuplicates(["id"]).mapInPandas(_sketch(s, "keys", 1), "id long, keys array<long>")
-        split = hot.join(held, "id").select("id", "band", F.explode(F.slice("keys", 1, SPLITS)).alias("key")).select("id", F.xxhash64("band", "key").alias("band"))
-        raw = _grouped(split, s, "split")
-        dense = raw.where("band IS NOT NULL").select("band", "a")
-        joined = dense.join(dense.withColumnRenamed("a", "b"), "band").where("a < b")
-        pairs = pairs.unionByName(raw.where("band IS NULL").select("a", "b")).unionByName(joined.select("a", "b"))
-    return pairs.distinct()
+def candidates(texts: DataFrame, s: Settings) -> DataFrame:
+    """Distinct pairs a < b that hold every pair of sets with at least s.similarity."""
+    order = texts.sparkSession.sparkContext.broadcast(order_of(texts, s))
+    placed = texts.mapInPandas(_placed(s, order), _PLACED)
+    kinds = "hot boolean, a long, b long, n long, most long, " + ", ".join(f"{c} long" for c in BITS)
+    raw = stored(placed.repartition("run").sortWithinPartitions("run", "n", "id").mapInPandas(_pairs(s), kinds), "placed")
+    dense = raw.where("hot").selectExpr("b AS run", "a AS id", "n", "most", *BITS)
+    x = dense.where("most >= n").withColumn("step", F.explode(F.sequence(_step("n"), _step("most")))).alias("x")
+    y = dense.withColumn("step", _step("n")).alias("y")
+    within = "(x.n < y.n OR x.n = y.n AND x.id < y.id) AND x.id <> y.id AND y.n <= x.most AND x.n <= y.most"
+    apart = " + ".join(f"bit_count(x.{c} ^ y.{c})" for c in BITS)
+    near = f"{apart} <= x.n + y.n - 2 * ceil((x.n + y.n) * {s.shared!r}D - {SLACK!r}D)"
+    joined = x.join(y, F.expr(f"x.run = y.run AND x.step = y.step AND {within} AND {near}")).select(F.expr("least(x.id, y.id) AS a"), F.expr("greatest(x.id, y.id) AS b"))
+    return raw.where("NOT hot").select("a", "b").unionByName(joined).distinct()
 
 
 def spread(links: DataFrame, members: DataFrame) -> DataFrame:
@@ -400,12 +407,7 @@ def near_sets(texts: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, Da
     others = stored(classes.where("id <> representative").select("id").union(members.where("member <> s").select("member")), "others")
 
     chosen = texts.join(small(others), "id", "left_anti")
-    bands = chosen.mapInPandas(_sketch(s, "bands"), "id long, band long")
-    pairs = stored(candidates(bands, chosen, s), "candidates")
-    short = stored(chosen.mapInPandas(_sketch(s, "head"), "id long, size int, r binary").dropDuplicates(["id"]), "sketches")
-    left, right = short.selectExpr("id AS a", "size AS na", "r AS ra"), short.selectExpr("id AS b", "size AS nb", "r AS rb")
-    placed = pairs.join(left, "a").join(right, "b").where(F.expr("least(na, nb)") >= F.expr("greatest(na, nb)") * (s.similarity - 1e-9))
-    likely = stored(placed.select("a", "b", "na", "nb", "ra", "rb").mapInPandas(_likely(s), "a long, b long"), "pairs")
+    likely = stored(candidates(chosen, s), "pairs")
 
     ids = stored(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
     whole = chosen.join(small(ids), "id", "left_semi").mapInPandas(_sets(s), "id long, runs binary").dropDuplicates(["id"])
@@ -418,7 +420,7 @@ def near_duplicates(texts: DataFrame, s: Settings = Settings()) -> tuple[DataFra
 
     A class holds the copies of one text; every text that takes part is in one,
     a text alone in its own. Links run between representatives, so between
-    different texts, and none is left out on purpose. Texts that are null, empty or
+    different texts, and none is left out. Texts that are null, empty or
     shorter than least_words take no part. Rows sent twice count once.
     """
     links, members, classes = near_sets(texts, s)

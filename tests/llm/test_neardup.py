@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 
 from sheaf.llm import neardup as N
 
@@ -108,3 +109,51 @@ def test_texts_with_many_stock_phrases_meet(spark):
     rows = [(i, " ".join(w)) for i, w in enumerate(out)]
     links, _ = truth(rows)
     assert len(links) == 41 and run(spark, rows)[0] == links
+
+
+def test_no_pair_at_the_threshold_is_lost_at_any_cap(spark):
+    r = random.Random(17)
+    words = lambda n: ["u%d" % r.randrange(10**9) for _ in range(n)]
+    rows, links = [], set()
+    for k in range(0, 6000, 2):  # 40 of 60 runs are shared, similarity 0.5 to the dot
+        shared = words(42)
+        rows += [(k, " ".join(shared + words(20))), (k + 1, " ".join(shared + words(20)))]
+        links.add((k, k + 1))
+    for hot in (1, 200):  # under 1 no two texts are paired in a task, all by the join
+        assert run(spark, rows, N.Settings(run=3, least_words=40, similarity=0.5, hot=hot))[0] == links
+
+
+def test_order_of_runs_changes_nothing(spark, monkeypatch):
+    rows = list(enumerate(texts(19, 6)))
+    expected = truth(rows)
+    for most, hot in ((0, 7), (40, 2)):
+        monkeypatch.setattr(N, "ORDERED", most)
+        assert run(spark, rows, N.Settings(run=3, least_words=40, similarity=0.5, hot=hot)) == expected
+
+
+def test_thresholds_equal_brute_force(spark):
+    rows = list(enumerate(texts(23, 5)))
+    sets = {i: runs(t) for i, t in rows}
+    same = dict(truth(rows)[1])
+    for similarity in (0.2, 1.0):
+        links = {(a, b) for a, b in itertools.combinations(sorted(set(same.values())), 2) if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])}
+        assert run(spark, rows, N.Settings(run=3, least_words=40, similarity=similarity, hot=5))[0] == links
+
+
+def test_bitmaps_differ_in_no_more_bits_than_the_sets_in_runs():
+    r = np.random.default_rng(3)
+    for n in (1, 60, 400):
+        x = r.integers(0, 2**N.KEPT_BITS, 2 * n, dtype=np.uint64)
+        bits = N.bitmaps(np.concatenate([x[:n], x[n // 2 : n + n // 2 + 1]]), np.array([0, n]))
+        apart = sum(int(np.bitwise_count((v[:1] ^ v[1:]).view(np.uint64))[0]) for v in bits.values())
+        assert apart <= len(set(x[:n].tolist()) ^ set(x[n // 2 : n + n // 2 + 1].tolist()))
+
+
+def test_runs_of_several_batches_are_paired_once_each():
+    s = N.Settings(run=3, least_words=40, similarity=0.5, hot=3)
+    rows = [(7, i, 10, 20) for i in range(3)] + [(8, i, 10, 20) for i in range(6)] + [(9, 1, 10, 20), (9, 1, 10, 20), (9, 2, 10, 20)]
+    for size in (1, 2, 5, 50):
+        batches = [pd.DataFrame(rows[i : i + size], columns=["run", "id", "n", "most"]).assign(**dict.fromkeys(N.BITS, 0)) for i in range(0, len(rows), size)]
+        out = pd.concat(list(N._pairs(s)(iter(batches))))
+        assert sorted(out.loc[~out["hot"], ["a", "b"]].itertuples(index=False, name=None)) == [(0, 1), (0, 2), (1, 2), (1, 2)]
+        assert sorted(out.loc[out["hot"], ["a", "b"]].itertuples(index=False, name=None)) == [(i, 8) for i in range(6)]
